@@ -34,7 +34,7 @@ from .quality import held_out
 
 CATEGORIES = ("terms", "repeated", "dense", "toxic")
 #: Labelled rows to fit on, at most; buckets of hashed words; folds; letters of a word's beginning.
-MOST, BUCKETS, FOLDS, BEGINNING = 16_000, 1 << 15, 3, 4
+MOST, BUCKETS, FOLDS, BEGINNING = 12_000, 1 << 15, 3, 4
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.1, 1e-4
 #: A term is this many times likelier in toxic rows and in so many of them at least.
 LIKELIER, SEEN = 30, 4
@@ -117,11 +117,14 @@ def _fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, seed: int) ->
 
 def _categories(found: list[tuple], toxic: np.ndarray) -> np.ndarray:
     """Labels of all categories, from the labels of the last."""
-    yes, no = Counter(), Counter()
+    yes: Counter = Counter()
     for f, t in zip(found, toxic, strict=True):
-        (yes if t else no).update(f[2].tolist())
+        if t:
+            yes.update(f[2].tolist())
+    often = {w for w, n in yes.items() if n >= SEEN}
+    no = Counter(w for f, t in zip(found, toxic, strict=True) if not t for w in f[2].tolist() if w in often)
     n_yes, n_no = toxic.sum(), (1 - toxic).sum()
-    terms = {w for w, n in yes.items() if n >= SEEN and n / n_yes >= LIKELIER * (no[w] + 0.2) / n_no}
+    terms = {w for w in often if yes[w] / n_yes >= LIKELIER * (no[w] + 0.2) / n_no}
     hits = np.array([sum(n for w, n in zip(f[2].tolist(), f[3].tolist(), strict=True) if w in terms) for f in found])
     words = np.array([max(1, f[3].sum()) for f in found])
     return np.stack([toxic * (hits > 0), toxic * (hits >= SEVERAL), toxic * (hits >= SHARE * words), toxic], 1)
