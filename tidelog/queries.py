@@ -1 +1,421 @@
-QUERIES = {}
+"""The catalogue: each operator over the test tables. ``oracle`` has the SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import codec, format, paths, text, timeexpr
+from .model import MODIFY, label
+from .operators import blocks, joins, temporal
+from .operators.temporal import VersionLog
+from .streaming import capture
+from .views import nanoseconds, table, vchain, vfiles, vlog, vorders, vpaths
+
+DAY = 86_400_000_000_000
+#: 2024-01-15 and 2024-01-10, in nanoseconds.
+T, SINCE, START = 1_705_276_800_000_000_000, 1_704_844_800_000_000_000, 1_704_067_200_000_000_000
+#: Runs of the test tables are short.
+ABOVE = 3
+BLOCK = 512
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _log(spark: SparkSession, sf: str) -> VersionLog:
+    return VersionLog(vlog(spark, sf))
+
+
+def _baseline(spark: SparkSession, sf: str) -> DataFrame:
+    return _log(spark, sf).where(until=START + DAY).paths()
+
+
+def _points(spark: SparkSession) -> DataFrame:
+    return spark.range(1, 31).select(F.concat(F.lit("d"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("name"), (F.lit(START) + (F.col("id") - 1) * DAY).alias("ts_ns"))
+
+
+@query
+def extlog(spark, sf):
+    return _log(spark, sf).extlog()
+
+
+@query
+def extlog_since(spark, sf):
+    return _log(spark, sf).where(since=SINCE).extlog()
+
+
+@query
+def extlog_footer(spark, sf):
+    return _log(spark, sf).footer()
+
+
+@query
+def log_sorted(spark, sf):
+    return _log(spark, sf).log()
+
+
+@query
+def log_path(spark, sf):
+    return VersionLog(vlog(spark, sf).where(F.col("path") == "u7")).log()
+
+
+@query
+def scope_prefix(spark, sf):
+    d = vfiles(spark, sf)
+    return d.where(paths.in_scope(F.col("path"), "src0/en")).select("path", F.octet_length("content").cast("bigint").alias("size"), paths.relative(F.col("path"), "src0").alias("rel"))
+
+
+@query
+def as_of_state(spark, sf):
+    return _log(spark, sf).as_of(T).select("repo", "path", "ts_ns", "seq", "file_size")
+
+
+@query
+def as_of_tags(spark, sf):
+    return _log(spark, sf).as_of_many(_points(spark))
+
+
+@query
+def undo_last_dir(spark, sf):
+    return _log(spark, sf).undo_last().select("repo", "path", "seq", "file_size")
+
+
+@query
+def undo_skipped(spark, sf):
+    return _log(spark, sf).where(since=T, until=T + DAY).undo_skipped()
+
+
+@query
+def undo_initial(spark, sf):
+    return _log(spark, sf).undo_initial(_baseline(spark, sf)).select("repo", "path", "seq", "file_size")
+
+
+@query
+def prune_list(spark, sf):
+    return _log(spark, sf).to_prune(_baseline(spark, sf))
+
+
+@query
+def last_two(spark, sf):
+    return _log(spark, sf).last_two()
+
+
+@query
+def nth_revision(spark, sf):
+    v = _log(spark, sf)
+    out = [v.nth(n).select(F.lit(n).cast("bigint").alias("n"), "repo", "path", "seq") for n in (1, 5, -1, -3, 0, 1_000_000, -1_000_000)]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
+
+@query
+def scd2(spark, sf):
+    in_us = lambda c: F.call_function("div", F.col(c), F.lit(1000).cast("bigint"))  # noqa: E731  exact as a double, too
+    return _log(spark, sf).versions().select("repo", "path", "seq", in_us("valid_from").alias("valid_from_us"), in_us("valid_to").alias("valid_to_us"))
+
+
+@query
+def noop_suppressed(spark, sf):
+    return _log(spark, sf).kinds_changed().select("repo", "path", "seq")
+
+
+@query
+def replay_sum(spark, sf):
+    return _log(spark, sf).replayed()
+
+
+@query
+def anchor_pruned(spark, sf):
+    return _log(spark, sf).state_at(T)
+
+
+@query
+def compact_plan(spark, sf):
+    return _log(spark, sf).compaction(ABOVE)
+
+
+@query
+def compacted_log(spark, sf):
+    return _log(spark, sf).compacted(ABOVE)
+
+
+@query
+def debounce_sessions(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    s = capture.sessions(e, "6 hours")
+    return s.select("path", "n", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
+
+
+@query
+def debounce_close(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("event_id").alias("seq"), "event_type")
+    return capture.islands(e, 6 * 3_600_000_000, F.col("event_type") == "purchase")
+
+
+@query
+def stats(spark, sf):
+    return _log(spark, sf).stats()
+
+
+@query
+def stats_rollup(spark, sf):
+    return _log(spark, sf).status()
+
+
+@query
+def status_totals(spark, sf):
+    return _log(spark, sf).totals()
+
+
+def _blocks(spark, sf):
+    return blocks.split(vfiles(spark, sf).select("path", "doc_id", "content"), BLOCK)
+
+
+@query
+def block_split(spark, sf):
+    return _blocks(spark, sf).select("path", "pos", "size", "hash")
+
+
+@query
+def block_dedup(spark, sf):
+    return blocks.dedup_ratio(_blocks(spark, sf))
+
+
+@query
+def block_new(spark, sf):
+    b = _blocks(spark, sf)
+    return blocks.new_blocks(b.where(F.col("doc_id") % 2 == 1), b.where(F.col("doc_id") % 2 == 0)).select("hash", "size")
+
+
+@query
+def block_gc(spark, sf):
+    b = _blocks(spark, sf)
+    pool = b.groupBy("hash").agg(F.max("size").alias("size"))
+    return blocks.collectable(pool, b.where(~F.col("path").startswith("src0/")).select("hash"))
+
+
+@query
+def block_reassemble(spark, sf):
+    b = _blocks(spark, sf)
+    pool = b.groupBy("hash").agg(F.first("data").alias("data"))
+    whole = blocks.reassembled(b, pool, ["path"])
+    return whole.select("path", F.sha2("content", 256).alias("sha256"), "missing")
+
+
+@query
+def verify_report(spark, sf):
+    return _log(spark, sf).verify_report((F.col("event_type") == MODIFY) & (F.col("delta_size") > F.col("file_size")))
+
+
+@query
+def exclude_builtin(spark, sf):
+    p = vpaths(spark, sf)
+    return p.withColumn("path", F.concat("path", F.element_at(F.array(*map(F.lit, ("/x.o", "/.git/a", "/.o", "/a.bak", "/b~", "/c", "/#d#", "/node_modules"))), (F.col("page_id") % 8 + 1).cast("int")))).where(~paths.excluded_builtin(F.col("path"))).select("page_id", "path")
+
+
+@query
+def exclude_user(spark, sf):
+    return paths.without_excluded(vfiles(spark, sf).select("path"), ["de", "src1/*/1*", "*7", "src3/", "src2/fr"])
+
+
+@query
+def repo_fanout(spark, sf):
+    roots = spark.createDataFrame([("src0", 1), ("src0/en", 2), ("src1", 3), ("src1/de", 4)], "root string, id int")
+    return joins.fanned_out(vfiles(spark, sf).select("path"), roots).select("root", "path")
+
+
+@query
+def repo_nearest(spark, sf):
+    roots = spark.createDataFrame([("src0",), ("src0/en",), ("src1",), ("src1/de",)], "root string")
+    return joins.nearest_root(vfiles(spark, sf), roots)
+
+
+@query
+def repo_overlap(spark, sf):
+    return joins.overlapping(vpaths(spark, sf).select(F.col("path").alias("root")).distinct())
+
+
+@query
+def tag_latest(spark, sf):
+    e = table(spark, sf, "events")
+    return joins.latest_tags(e.select(F.concat(F.lit("t"), (F.col("user_id") % 50).cast("string")).alias("name"), nanoseconds(F.col("ts")).alias("ts_ns"), F.col("event_id").alias("seq")))
+
+
+@query
+def annotation_join(spark, sf):
+    log = vlog(spark, sf)
+    notes = log.where(F.col("seq") % 3 == 0).select("ts_ns", "path", "seq", F.concat(F.lit("n"), F.col("seq").cast("string")).alias("summary"))
+    again = notes.withColumn("seq", F.col("seq") + 1_000_000).withColumn("summary", F.lit("later"))
+    return joins.annotated(log.select("ts_ns", "path", F.col("seq").alias("record")), notes.unionByName(again))
+
+
+@query
+def event_kind_map(spark, sf):
+    return vlog(spark, sf).groupBy(label(F.col("event_type")).alias("event")).agg(F.count("*").alias("n"))
+
+
+@query
+def line_counts(spark, sf):
+    return vfiles(spark, sf).select("path", text.line_count(F.col("content")).cast("bigint").alias("n_lines"))
+
+
+def _pairs(spark, sf):
+    from pyspark.sql import Window
+
+    old = F.coalesce(F.lag("content").over(Window.partitionBy("path").orderBy("rev")), F.lit(""))
+    # revisions share what a turn before has said, so that ranges are of interest
+    return vchain(spark, sf).withColumn("old", old).withColumn("new", F.concat("old", F.lit("\n"), "content"))
+
+
+@query
+def changed_range(spark, sf):
+    r = text.changed_range(F.col("old"), F.col("content"))
+    return _pairs(spark, sf).select("path", "rev", r["first"].cast("bigint").alias("first_line"), r["last"].cast("bigint").alias("last_line"))
+
+
+@query
+def summary(spark, sf):
+    return _pairs(spark, sf).select("path", "rev", text.summary(F.col("old"), F.col("new"), F.lit("")).alias("summary"))
+
+
+@query
+def autotags(spark, sf):
+    return vchain(spark, sf).select("path", "rev", text.top_tags(text.tokens(F.col("content"))).alias("tags"))
+
+
+@query
+def is_binary(spark, sf):
+    return vfiles(spark, sf).select("path", text.is_binary(F.col("content").cast("binary")).alias("is_binary"))
+
+
+@query
+def fmt_bytes(spark, sf):
+    return vorders(spark, sf).select("seq", format.nbytes(F.col("file_size")).alias("size"))
+
+
+@query
+def fmt_duration(spark, sf):
+    return vlog(spark, sf).select("seq", format.duration(F.col("ts_ns") - START).alias("age"), format.timestamp(F.col("ts_ns")).alias("at"))
+
+
+@query
+def sanitize(spark, sf):
+    return vpaths(spark, sf).select("page_id", paths.sanitized(F.col("path")).alias("name"))
+
+
+@query
+def basename(spark, sf):
+    p = F.col("path")
+    return vpaths(spark, sf).select("page_id", paths.basename(p).alias("base"), paths.dirname(p).alias("dir"), paths.normalized_prefix(F.concat(F.lit("./"), p, F.lit("//"))).alias("prefix"))
+
+
+@query
+def time_expr(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.element_at(F.array(*map(F.lit, ("min", "hours ago", "days", "weeks ago", "months", "sec"))), (F.col("event_id") % 6 + 1).cast("int")).alias("unit"))
+    expr = F.concat((F.col("event_id") % 500).cast("string"), F.lit(" "), "unit")
+    return e.select("event_id", timeexpr.time_expr(expr, 1_000_000 * timeexpr.NS).alias("ts_ns"))
+
+
+@query
+def rel_path(spark, sf):
+    return vfiles(spark, sf).select("path", paths.relative(F.col("path"), "src0/en").alias("rel"))
+
+
+@query
+def manifest(spark, sf):
+    return _log(spark, sf).manifest()
+
+
+@query
+def line_diff(spark, sf):
+    c = vchain(spark, sf)
+    return joins.line_diff(c.where(F.col("rev") == 0).select("path", "content"), c.where(F.col("rev") == 1).select("path", "content"), ["path"])
+
+
+@query
+def header_codec(spark, sf):
+    v = vlog(spark, sf)
+    raw = codec.header(F.col("ts_ns"), F.col("event_type"), F.octet_length("path"), F.col("delta_size"), F.col("file_size"))
+    return v.select("seq", raw.alias("raw")).select("seq", F.lower(F.hex("raw")).alias("header"), codec.from_little_endian(F.substring("raw", 1, 8)).cast("bigint").alias("ts_ns"))
+
+
+@query
+def log_distinct_paths(spark, sf):
+    return _log(spark, sf).paths()
+
+
+@query
+def orders_revisions(spark, sf):
+    """T10 over orders: a customer is a path, an order a revision."""
+    o = vorders(spark, sf).withColumn("repo", F.lit("o")).withColumn("event_type", F.lit(MODIFY)).withColumn("delta_size", F.col("file_size"))
+    return VersionLog(o).extlog().select("path", "seq", "rev", "size_change", "elapsed_ns")
+
+
+@query
+def monotonic_ts(spark, sf):
+    o = vorders(spark, sf).withColumn("repo", F.lit("o"))
+    return temporal.monotonic(o).select("path", "seq", "ts_ns")
+
+
+@query
+def rescan_diff(spark, sf):
+    v = _log(spark, sf)
+    was, now = (v.as_of(t).select("path", F.col("seq").alias("digest")) for t in (SINCE, T))
+    return joins.rescanned(was, now)
+
+
+@query
+def history_flag(spark, sf):
+    walk = spark.range(0, 400).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("path"))
+    return joins.with_history(walk, vlog(spark, sf))
+
+
+@query
+def common_dir(spark, sf):
+    dirs = vfiles(spark, sf).select(F.substring_index("path", "/", 1).alias("source"), F.substring_index("path", "/", 2).alias("dir")).distinct()
+    return dirs.groupBy("source").agg(F.collect_set(F.concat("dir", F.lit("/x"))).alias("files")).select("source", paths.common_directory(F.col("files")).alias("dir"))
+
+
+# Without SQL: digests, deltas, encryption and state machines.
+
+
+@query
+def blake2b_blocks(spark, sf):
+    return vchain(spark, sf).select("path", "rev", F.lower(F.hex(codec.blake2b(F.col("content").cast("binary")))).alias("digest"))
+
+
+@query
+def delta_round_trip(spark, sf):
+    p = _pairs(spark, sf).select("path", "rev", F.col("old").cast("binary").alias("old"), F.col("new").cast("binary").alias("new"))
+    p = p.withColumn("delta", codec.delta_encode("old", "new"))
+    return p.select("path", "rev", F.length("delta").alias("delta_size"), F.length("new").alias("file_size"), (codec.delta_decode("old", "delta") == F.col("new")).alias("same"))
+
+
+@query
+def encrypted_round_trip(spark, sf):
+    key = codec.key_from("test", b"0123456789abcdef", 1000)
+    c = vchain(spark, sf).withColumn("raw", F.col("content").cast("binary"))
+    sealed = codec.encrypt(F.col("raw"), key, F.col("path").cast("binary"))
+    return c.select("path", "rev", "raw", sealed.alias("sealed")).select("path", "rev", (codec.decrypt(F.col("sealed"), key, F.col("path").cast("binary")) == F.col("raw")).alias("same"))
+
+
+def _snapshots(spark, sf):
+    return vchain(spark, sf).select("path", (F.col("rev") * 1000 + 1000).alias("ts_ns"), F.col("content").cast("binary").alias("content"))
+
+
+@query
+def capture_fsm(spark, sf):
+    return capture.captured_batch(_snapshots(spark, sf)).select("path", "ts_ns", "event_type", F.length("payload").alias("delta_size"), "file_size", "reason")
+
+
+@query
+def replay_bytes(spark, sf):
+    from .operators.replay import versions
+
+    log = capture.captured_batch(_snapshots(spark, sf)).withColumn("repo", F.lit("c")).withColumn("seq", F.col("ts_ns"))
+    return versions(log).select("path", "ts_ns", F.sha2("content", 256).alias("sha256"), "fault")
