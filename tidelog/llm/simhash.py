@@ -104,14 +104,15 @@ def links(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:
         thin = variants.join(full, "variant", "left_anti")
         members = staged(variants.join(full, "variant", "left_semi").select("bits").distinct(), "members")
         least = _balls(members, 1).groupBy("hub").agg(F.min("bits").alias("a"))
-        hubs = _balls(members, 2).join(least, "hub").where(F.col("a") != F.col("bits")).select(F.least("a", "bits").alias("a"), F.greatest("a", "bits").alias("b")).distinct()
+        hubs = _balls(members, 2).join(least.hint("merge"), "hub").where(F.col("a") != F.col("bits")).select(F.least("a", "bits").alias("a"), F.greatest("a", "bits").alias("b")).distinct()
     left, right = thin.select("variant", "half", "out", F.col("bits").alias("a")), thin.select("variant", F.col("bits").alias("b"))
     differing: Column = F.col("a").bitwiseXOR(F.col("b"))
     low, high = differing.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(differing, 32)
     own = F.when(F.col("half") == 0, low).otherwise(high)
     here = ((own == 0) & (F.col("out") == 1)) | (own == F.col("out"))
     first = (F.col("half") == 0) | (F.bit_count(low) > 1)
-    pairs = left.join(right, (left["variant"] == right["variant"]) & (F.col("a") < F.col("b")) & (F.bit_count(differing) <= BITS) & here & first).select("a", "b")
+    # the rows of a Generate are underestimated, so that sides as large as the corpus would be broadcast
+    pairs = left.join(right.hint("merge"), (left["variant"] == right["variant"]) & (F.col("a") < F.col("b")) & (F.bit_count(differing) <= BITS) & here & first).select("a", "b")
     return pairs.unionByName(hubs) if hubs is not None else pairs
 
 
