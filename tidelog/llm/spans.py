@@ -108,10 +108,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True))], ["id", "run", "first", "n"])
 
     every = staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, run long, first int, n int"), "runs")
+    # most runs are unique: a count by hash is all that is gathered of them
+    twice = every.groupBy("run").count().where(F.col("count") > 1).select(F.col("run").alias("of"))
+    # one run can stand in a third of the documents: a skewed partition of these joins is split as it runs
+    shared = staged(every.join(twice.hint("merge"), F.col("run") == F.col("of")).drop("of"), "shared")
     place = F.struct(F.col("id").isNotNull(), "id", "first")
-    firsts = every.groupBy("run").agg(F.count("*").alias("times"), F.min(place).alias("place")).where(F.col("times") > 1).select(F.col("run").alias("of"), F.col("place.id").alias("first_id"), F.col("place.first").alias("first_at"))
-    # one run can stand in a third of the documents: a skewed partition of this join is split as it runs
-    others = every.join(firsts.hint("merge"), F.col("run") == F.col("of")).where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("first") == F.col("first_at"))))
+    firsts = shared.groupBy("run").agg(F.min(place).alias("place")).select(F.col("run").alias("of"), F.col("place.id").alias("first_id"), F.col("place.first").alias("first_at"))
+    others = shared.join(firsts.hint("merge"), F.col("run") == F.col("of")).where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("first") == F.col("first_at"))))
     covered = others.select("id", "first", "n").distinct().select("id", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("at"))
     return staged(covered.groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("gone")), "gone")
 
