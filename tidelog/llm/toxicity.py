@@ -1,16 +1,19 @@
 """Toxicity by a classifier chain.
 
-Four categories, each harder to meet than text that merely contains a term, are
-predicted one after the other: ``terms`` (at least one abusive term), ``repeated``
-(several), ``dense`` (a share of all words) and ``toxic`` itself. Only the last is
-labelled; the others follow from it and from the terms that toxic labelled rows
-hold and others don't, which are found as the chain is fitted. Each category has a
-logistic model over hashed words and word beginnings, statistics of the text's form
-and the logits of the categories before it. Those logits are out-of-fold in
-training, so that a later model learns from them as it will see them.
+Four categories are predicted one after the other: ``terms`` (a toxic text with at
+least one telling feature), ``repeated`` (several), ``dense`` (a share of all its
+features) and ``toxic`` itself. Only the last is labelled; the others follow from it
+and from the telling features, those that toxic labelled rows hold and others don't,
+which are found as the chain is fitted. Each category has a logistic model over hashed
+words and word beginnings, statistics of the text's form and the logits of the
+categories before it. Beginnings have several lengths, as languages that put words
+together hold a term as a stem; a feature that occurs 2, 4 or 8 times is a feature
+of its own for each, as a stem that harmless texts hold once may be telling where it
+returns. The earlier logits are out-of-fold in training, so that a later model learns
+from them as it will see them.
 
 The chain is fitted on the driver on at most ``MOST`` labelled rows, and has a size of
-its own (about 1.1 MB), whatever the corpus. Rows held out (as for quality) are never
+its own (4 MB), whatever the corpus. Rows held out (as for quality) are never
 learnt from. The threshold of ``toxic`` is that with the best F1 on its out-of-fold
 predictions.
 
@@ -21,8 +24,10 @@ are scored one by one; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
@@ -33,23 +38,43 @@ from .features import EDGES, STATISTICS, hashed, mapped, sample, structure
 from .quality import held_out
 
 CATEGORIES = ("terms", "repeated", "dense", "toxic")
-#: Labelled rows to fit on, at most; buckets of hashed words; folds; letters of a word's beginning.
-MOST, BUCKETS, FOLDS, BEGINNING = 12_000, 1 << 15, 3, 4
+#: Labelled rows to fit on, at most; buckets of hashed features; folds.
+MOST, BUCKETS, FOLDS = 12_000, 1 << 18, 3
+#: Letters of a word's beginnings; numbers of occurrences that are features.
+BEGINNINGS, TIMES = (4, 5, 6, 7), (1, 2, 4, 8)
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.1, 1e-4
-#: A term is this many times likelier in toxic rows and in so many of them at least.
+#: A feature is telling if it is this many times likelier in toxic rows, and in so many of them at least.
 LIKELIER, SEEN = 30, 4
-#: Terms for ``repeated``, and share of the words for ``dense``.
+#: Telling features for ``repeated``, and share of all features for ``dense``.
 SEVERAL, SHARE = 3, 0.01
+#: Log odds from which a bucket has a weight, and share of them that it starts from.
+ODDS, START = 3.0, 0.2
+#: Words whose beginnings a worker remembers.
+REMEMBERED = 200_000
+_starts: dict[str, tuple[int, ...]] = {}
 
 
-def features(text: str | None) -> tuple[np.ndarray, list[float], np.ndarray, np.ndarray]:
-    """Buckets of words and beginnings; statistics; hashes of the words, and their counts."""
+def _beginnings(word: str) -> tuple[int, ...]:
+    found = _starts.get(word)
+    if found is None:
+        if len(_starts) > REMEMBERED:
+            _starts.clear()
+        found = _starts[word] = tuple(zlib.crc32(b"^" + word[:n].encode("utf-8", "surrogatepass")) for n in BEGINNINGS if len(word) > n)
+    return found
+
+
+def features(text: str | None) -> tuple[np.ndarray, list[float]]:
+    """Buckets of words and beginnings, for each number of times that they reach; statistics."""
     text = text or ""
     plain = [w.strip(EDGES) for w in text.lower().split()]
     words = Counter(w for w in plain if w)
     index, n = hashed(words)
-    start, _ = hashed(Counter("^" + w[:BEGINNING] for w in words if len(w) > BEGINNING))
-    return np.unique(np.concatenate([index, start]) % BUCKETS), structure(text, plain, words, None), index, n
+    starts = [_beginnings(w) for w in words]
+    flat = np.fromiter(chained.from_iterable(starts), np.int64)
+    each, back = np.unique(np.concatenate([index, flat]), return_inverse=True)
+    times = np.bincount(back, np.concatenate([n, np.repeat(n, np.fromiter(map(len, starts), np.int64, len(starts)))]), len(each))
+    found = [each[times >= t] + t * 0x9E3779B1 for t in TIMES]
+    return np.unique(np.concatenate(found) % BUCKETS), structure(text, plain, words, None)
 
 
 @dataclass
@@ -87,15 +112,22 @@ def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64), np.cumsum([0, *map(len, parts[:-1])])
 
 
+def _odds(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows hold each bucket, of those that are marked and of the others."""
+    index, mark = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(y, np.fromiter(map(len, rows), np.int64, len(rows)))
+    return np.bincount(index[mark > 0], minlength=BUCKETS), np.bincount(index[mark <= 0], minlength=BUCKETS)
+
+
 def _fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, seed: int) -> Linear:
-    """Starts from the log odds of each bucket, as a naive Bayes model would."""
+    """Starts from the log odds of each bucket, as a naive Bayes model would. Only
+    buckets that speak for the mark have a weight: of the many that texts are full of,
+    weak evidence either way would add up to more than a few terms do."""
     rng = np.random.default_rng(seed)
-    index = np.concatenate(rows)
-    mark = np.repeat(y, [len(r) for r in rows])
-    yes, no = np.bincount(index[mark > 0], minlength=BUCKETS), np.bincount(index[mark <= 0], minlength=BUCKETS)
+    yes, no = _odds(rows, y)
     odds = np.log((yes + 0.5) / (y.sum() + 1)) - np.log((no + 0.5) / ((1 - y).sum() + 1))
-    weights = np.where((yes + no >= SEEN) & (np.abs(odds) > 1), odds, 0) / 2
-    m = Linear(float(np.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5))), weights, np.zeros(dense.shape[1]))
+    tells = (yes + no >= SEEN) & (odds > ODDS)
+    rows = [r[tells[r]] for r in rows]
+    m = Linear(float(np.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5))), np.where(tells, odds, 0) * START, np.zeros(dense.shape[1]))
     sums, dense_sum, bias_sum = np.full(BUCKETS, 1e-4), np.full(dense.shape[1], 1e-4), 1e-4
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
@@ -115,19 +147,13 @@ def _fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, seed: int) ->
     return m
 
 
-def _categories(found: list[tuple], toxic: np.ndarray) -> np.ndarray:
+def _categories(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Labels of all categories, from the labels of the last."""
-    yes: Counter = Counter()
-    for f, t in zip(found, toxic, strict=True):
-        if t:
-            yes.update(f[2].tolist())
-    often = {w for w, n in yes.items() if n >= SEEN}
-    no = Counter(w for f, t in zip(found, toxic, strict=True) if not t for w in f[2].tolist() if w in often)
-    n_yes, n_no = toxic.sum(), (1 - toxic).sum()
-    terms = {w for w in often if yes[w] / n_yes >= LIKELIER * (no[w] + 0.2) / n_no}
-    hits = np.array([sum(n for w, n in zip(f[2].tolist(), f[3].tolist(), strict=True) if w in terms) for f in found])
-    words = np.array([max(1, f[3].sum()) for f in found])
-    return np.stack([toxic * (hits > 0), toxic * (hits >= SEVERAL), toxic * (hits >= SHARE * words), toxic], 1)
+    yes, no = _odds(rows, toxic)
+    telling = (yes >= SEEN) & (yes / toxic.sum() >= LIKELIER * (no + 0.2) / (1 - toxic).sum())
+    hits = np.array([telling[r].sum() for r in rows])
+    size = np.array([max(1, len(r)) for r in rows])
+    return np.stack([toxic * (hits > 0), toxic * (hits >= SEVERAL), toxic * (hits >= SHARE * size), toxic], 1)
 
 
 def fit(ids: np.ndarray, found: list[tuple], toxic: np.ndarray) -> Chain | None:
@@ -135,7 +161,7 @@ def fit(ids: np.ndarray, found: list[tuple], toxic: np.ndarray) -> Chain | None:
         return None
     stats = np.array([f[1] for f in found])
     chain = Chain(stats.mean(0), stats.std(0) + 1e-6)
-    rows, x, labels, fold = [f[0] for f in found], chain.dense([f[1] for f in found]), _categories(found, toxic), ids // 7 % FOLDS
+    rows, x, labels, fold = [f[0] for f in found], chain.dense([f[1] for f in found]), _categories([f[0] for f in found], toxic), ids // 7 % FOLDS
     for k in range(len(CATEGORIES)):
         chain.models.append(_fit(rows, x, labels[:, k], seed=k))
         logit = np.zeros(len(rows))
@@ -146,6 +172,8 @@ def fit(ids: np.ndarray, found: list[tuple], toxic: np.ndarray) -> Chain | None:
                 m = _fit([rows[i] for i in there], x[there], labels[there, k], seed=k)
                 logit[here] = np.clip(m.logit(*_joined([rows[i] for i in here]), x[here]), -10, 10)
         x = np.hstack([x, logit[:, None] / 5])
+    for m in chain.models:
+        m.weights = m.weights.astype(np.float32)
     p = 1 / (1 + np.exp(-logit))
     order = np.argsort(-p, kind="stable")
     right = np.cumsum(toxic[order])
@@ -159,12 +187,14 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Chain | Non
 
     def make(ids, texts, marks):
         found = [features(t) for t in texts]
-        return ids, marks, *([f[k] for f in found] for k in range(4))
+        return ids, marks, *([f[k] for f in found] for k in range(2))
 
-    out = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("index", pa.list_(pa.int32())), ("stats", pa.list_(pa.float64())), ("words", pa.list_(pa.int64())), ("n", pa.list_(pa.float32()))])
-    got = mapped(rows, make, "id long, label int, index array<int>, stats array<double>, words array<long>, n array<float>", out).toPandas().sort_values("id")
-    found = [(np.asarray(i, np.int64), s, np.asarray(w), np.asarray(n)) for i, s, w, n in zip(got["index"], got["stats"], got["words"], got["n"], strict=True)]
-    return fit(got["id"].to_numpy(), found, (got["label"].to_numpy() > 0).astype(float)) if found else None
+    out = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("index", pa.list_(pa.int32())), ("stats", pa.list_(pa.float64()))])
+    got = mapped(rows, make, "id long, label int, index array<int>, stats array<double>", out).toArrow().combine_chunks().sort_by("id")
+    if not got.num_rows:
+        return None
+    index = [part for chunk in got["index"].chunks for part in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
+    return fit(got["id"].to_numpy(), list(zip(index, got["stats"].to_pylist(), strict=True)), (got["label"].to_numpy() > 0).astype(float))
 
 
 def scored(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
