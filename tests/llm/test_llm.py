@@ -1,6 +1,7 @@
 """The operators against brute force, round trips and held-out labels."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -112,6 +113,34 @@ def test_spans_equal_brute_force(spark, odd):
     assert spans.deduplicated(odd).count() == len(ODD) and spans.deduplicated(odd.limit(0)).count() == 0
 
 
+def test_spans_meet_wherever_copies_begin(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    passage = words(60)
+    rows = [(k, f"{words(k)} {passage} {words(7)}") for k in range(12)]
+    got = {r["doc_id"]: r["removed_words"] for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] == 0 and all(30 <= got[k] <= 60 for k in range(1, 12))
+    # every maximal segment of windows of 51 words that stand elsewhere before loses some of its words
+    df, seen, segments = docs(spark), set(), []
+    for r in sorted(df.collect(), key=lambda r: r["doc_id"]):
+        w, last = (r["text"] or "").split(), None
+        for i in range(len(w) - 50):
+            if (h := hash(tuple(w[i : i + 51]))) not in seen:
+                seen.add(h)
+                continue
+            if last == i - 1:
+                segments[-1][2] = i + 51
+            else:
+                segments.append([r["doc_id"], i, i + 51])
+            last = i
+    gone = {r["id"]: set(r["gone"]) for r in spans.repeated(df).collect()}
+    cuts = {r["doc_id"]: spans.cut(r["text"] or "") for r in df.collect()}
+    assert len(segments) > 100
+    for i, a, b in segments:
+        owner = [k for k, s in enumerate(cuts[i]) for _ in s]
+        assert gone.get(i, set()) & set(owner[a:b]), (i, a, b)
+
+
 def accuracy(spark, rows, label, predicted, sf=SF):
     labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     held = [(labels[r["doc_id"]], r[predicted]) for r in rows if r["doc_id"] in labels and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]

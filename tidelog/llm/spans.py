@@ -1,15 +1,18 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences at full stops, exclamation and question marks and line
-ends; one of more than ``PIECE`` words is cut on, so that no sentence is long. From
+ends; one of more than ``PIECE`` words is cut on, so that no sentence is long: after
+each word whose hash is the least among its ``NEAR`` neighbours on either side, and,
+where these are over ``PIECE`` words apart, after the least in between. What precedes
+a passage so moves only its first cuts, and its copies soon have the same ones. From
 each sentence on, and back from each, the shortest run of at least ``RUN`` sentences
 and ``WORDS`` words is hashed (words only; white space doesn't count). Runs join
 globally by hash. The first place of a run, by document id and position, stays;
 sentences that any other place covers are removed.
 
-Runs that begin and end at every sentence make a passage of over
-``WORDS + PIECE`` words, wherever it stands, be covered from its first whole
-sentence to its last.
+Runs that begin and end at every sentence make a passage be covered from the first
+cut that its copies share to the last, if ``RUN`` sentences and ``WORDS`` words lie
+between these.
 
 Defined cases: null and empty texts, and those without a run, stay as they are; a
 text may be removed in whole, which leaves it empty; a null id comes before all
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,46 +36,67 @@ from pyspark.sql import functions as F
 from .common import staged
 
 RUN, WORDS, PIECE = 3, 24, 12
+#: Words on either side among which one has the least hash where a long sentence is cut after it.
+NEAR = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"\S+")
 
 
-def cut(text: str) -> list[list[str]]:
-    """The words of each sentence."""
-    out = []
-    for line in text.splitlines():
-        own: list[str] = []
-        for w in line.split():
-            own.append(w)
-            if w[-1] in ".!?" or len(own) == PIECE:
-                out.append(own)
-                own = []
-        if own:
-            out.append(own)
+def _cut_on(words: list[str], ends: list[int]) -> list[int]:
+    """The ``ends`` of sentences, and where those of over ``PIECE`` words are cut."""
+    long = [(a, b) for a, b in zip([0, *ends], ends) if b - a > PIECE]
+    if not long:
+        return ends
+    # the last word of each is the least, so that none beside it is
+    each = [crc32(w) for a, b in long for w in " ".join(words[a:b]).encode("utf-8", "surrogatepass").split(b" ")]
+    rank, size = np.array([0] * NEAR + each + [0] * NEAR, np.int64) + 1, len(each)
+    last = np.cumsum([b - a for a, b in long])
+    rank[last + NEAR - 1] = rank[:NEAR] = rank[size + NEAR :] = 0
+    left = np.minimum.reduce([rank[k : k + size] for k in range(NEAR)])
+    right = np.minimum.reduce([rank[k : k + size] for k in range(NEAR + 1, 2 * NEAR + 1)])
+    own = rank[NEAR : NEAR + size]
+    found = [*(np.nonzero((own < left) & (own <= right) & (own > 0))[0] + 1).tolist(), size + 1]
+    out, base, k = list(ends), 0, 0
+    for a, b in long:
+        at, stop = base, base + b - a
+        while at < stop:
+            end = min(found[k], stop)
+            while end - at > PIECE:
+                # the last of the least
+                at += PIECE - int(own[at + NEAR : at + PIECE][::-1].argmin())
+                out.append(a + at - base)
+            if end < stop:
+                out.append(a + end - base)
+                k += 1
+            at = end
+        base = stop
+    out.sort()
     return out
 
 
-def places(text: str) -> list[tuple[int, int]]:
-    """Where the sentences of ``cut`` begin and end in the text."""
-    out, base = [], 0
-    for line in text.splitlines(keepends=True):
-        own: list[tuple[int, int]] = []
-        for m in _WORD.finditer(line):
-            own.append(m.span())
-            if m[0][-1] in ".!?" or len(own) == PIECE:
-                out.append((base + own[0][0], base + own[-1][1]))
-                own = []
-        if own:
-            out.append((base + own[0][0], base + own[-1][1]))
-        base += len(line)
-    return out
+def cut_ends(text: str) -> tuple[list[str], list[int]]:
+    """The words, and at which of them each sentence ends."""
+    words: list[str] = []
+    ends: list[int] = []
+    for line in text.splitlines():
+        if own := line.split():
+            ends += [i for i, w in enumerate(own, len(words) + 1) if w[-1] in ".!?"]
+            words += own
+            if own[-1][-1] not in ".!?":
+                ends.append(len(words))
+    return words, _cut_on(words, ends)
+
+
+def cut(text: str) -> list[list[str]]:
+    """The words of each sentence."""
+    words, ends = cut_ends(text)
+    return [words[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def runs(sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(words: list[str], ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first sentence, sentences) of each run, without repeats."""
-    n = len(sentences)
-    sizes = np.fromiter(map(len, sentences), np.int64, n)
-    before = np.concatenate([[0], np.cumsum(sizes)])
+    n = len(ends)
+    before = np.array([0, *ends])
     start = np.arange(n)
     # forth: the least end with enough words and sentences; back: the largest start
     end = np.maximum(np.searchsorted(before, before[:-1] + WORDS), start + RUN)
@@ -82,7 +107,7 @@ def runs(sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     if not len(found):
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     found = np.unique(found, axis=0)
-    each = np.fromiter((xxhash.xxh64_intdigest(" ".join(s).encode("utf-8", "surrogatepass")) for s in sentences), np.uint64, n)
+    each = np.fromiter((xxhash.xxh64_intdigest(" ".join(words[a:b]).encode("utf-8", "surrogatepass")) for a, b in zip([0, *ends], ends)), np.uint64, n)
     # a polynomial over the sentences' hashes, modulo 2^64: sums of any run from prefix sums
     inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
     with np.errstate(over="ignore"):
@@ -101,7 +126,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             ids, found = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = runs(cut(text.as_py() or ""))
+                got = runs(*cut_ends(text.as_py() or ""))
                 ids += [i] * len(got[0])
                 found.append(got)
             columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3)]
@@ -128,15 +153,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out: list[list] = [[], [], [], []]
             for text, gone in zip(batch.column(1), batch.column(2), strict=True):
                 text, gone = text.as_py(), gone.as_py() or []
-                sentences = cut(text or "")
-                out[0].append(len(sentences))
+                ends = [0, *cut_ends(text or "")[1]]
+                out[0].append(len(ends) - 1)
                 out[1].append(len(gone))
-                out[2].append(sum(len(sentences[i]) for i in gone))
+                out[2].append(sum(ends[i + 1] - ends[i] for i in gone))
                 if gone:
-                    spans, kept, at = places(text), [], 0
+                    places, kept, at = [m.span() for m in _WORD.finditer(text)], [], 0
                     for i in gone:
-                        kept.append(text[at : spans[i][0]])
-                        at = spans[i][1]
+                        kept.append(text[at : places[ends[i]][0]])
+                        at = places[ends[i + 1] - 1][1]
                     text = "".join(kept) + text[at:]
                     text = text.strip() and text
                 out[3].append(text)
