@@ -209,6 +209,28 @@ def test_licences_equal_brute_force(spark, odd):
     assert licenses.scanned(odd.limit(0)).count() == 0
 
 
+def test_licences_of_many_notices(spark):
+    mit = licenses.TEMPLATES[1][1]
+    apache, proprietary = licenses.TEMPLATES[2][1], licenses.TEMPLATES[-1][1]
+    texts = [f"{mit}. Licensed under the Apache License, version 2 0. {proprietary}", f"{mit} {licenses.TEMPLATES[7][1]} {licenses.TEMPLATES[12][1]} {licenses.TEMPLATES[9][1]}", " ".join(t for _, t, _ in licenses.TEMPLATES), f"{apache} {apache}"]
+    rng = random.Random(3)
+    for _ in range(60):
+        parts = [rng.choice(licenses.TEMPLATES)[rng.choice((1, 1, 2))] for _ in range(rng.randrange(1, 9))]
+        texts.append(" ".join(w for p in parts for w in [*p.split(), *rng.choices(["x", "license", "software", "the", "version"], k=rng.randrange(4))] if rng.random() > 0.02))
+    want = []
+    for text in texts:
+        w, labels = re.findall("[a-z0-9]+", text.lower()), {x for p, x in licenses.BASE if f" {p} " in f" {' '.join(re.findall('[a-z0-9]+', text.lower()))} "}
+        for label, _, phrase in licenses.TEMPLATES:
+            p = phrase.split()
+            # words too common to be indexed match any word, and may lie beyond the end
+            if any(all(x in licenses.COMMON or (0 <= i + k < len(w) and w[i + k] == x) for k, x in enumerate(p)) for i in range(-len(p), len(w))):
+                labels.add(label)
+        want.append(",".join(sorted(labels)))
+    assert want[0] == "apache,apache-2.0,mit,proprietary" and {"cc-by-4.0", "mpl-2.0", "bsd"} <= set(want[1].split(","))
+    got = licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert [r["labels"] for r in sorted(got, key=lambda r: r["doc_id"])] == want
+
+
 def test_top_k_odd_vectors(spark):
     from tidelog.llm import annuli
 

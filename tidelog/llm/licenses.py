@@ -1,9 +1,10 @@
 """License scans over a positional index of rare licence words.
 
 The words of the templates are ranked by their document frequency in the corpus.
-In each file the rarest of them that occur are looked up in the templates'
-postings; where a word stands at ``pos`` and in a template at ``tpos``, the template
-could start at ``pos - tpos``. Starts on which enough anchors agree are verified:
+Each template is indexed by the rarest words of its mandatory phrase, which all have
+to be there, so that no template's start is missed however many words and notices a
+file holds; where such a word stands at ``pos`` and in a template at ``tpos``, the
+template could start at ``pos - tpos``. Starts on which all its anchors agree are verified:
 every word of the template's mandatory phrase has to stand at its relative place;
 the score is the share of the template's indexed words that do.
 
@@ -48,8 +49,8 @@ TEMPLATES = (
 )
 #: Words too common to be indexed; they are neither anchors nor verified.
 COMMON = frozenset("a all and any are as by for in into is it of on or the this to with without".split())
-#: Rarest words of a file that are looked up, and anchors that have to agree on a start (or all that the template has).
-ANCHORS, AGREE = 12, 2
+#: Anchors of a template, which have to agree on a start (or all that its mandatory phrase has).
+AGREE = 2
 
 
 def _postings(templates: tuple = TEMPLATES) -> list[tuple[int, str, str, int, bool]]:
@@ -78,28 +79,30 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
     seen = files.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).groupBy("word").count()
     counts = {r["word"]: r["count"] for r in seen.collect()}  # a row for each word of the templates at most
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    index = F.broadcast(spark.createDataFrame([(rank[w], w, n, label, i, needed) for n, label, w, i, needed in postings], "rank int, word string, template int, label string, tpos int, needed boolean"))
+    index = F.broadcast(spark.createDataFrame([(w, n, label, i, needed) for n, label, w, i, needed in postings], "word string, template int, label string, tpos int, needed boolean"))
     enough = F.broadcast(
         spark.createDataFrame(
             [(n, len(own), sum(x[4] for x in own)) for n in range(len(templates)) if (own := [x for x in postings if x[0] == n])],
             "template int, indexed int, needs int",
         )
     )
-    ranks = F.create_map(*(F.lit(x) for w, i in rank.items() for x in (w, i)))
+
+    anchoring = []
+    for n in range(len(templates)):
+        rarest = sorted((rank[w], i, w) for k, _, w, i, needed in postings if k == n and needed)[:AGREE]
+        anchoring += [(w, n, i, len(rarest)) for _, i, w in rarest]
+    anchors = F.broadcast(spark.createDataFrame(anchoring, "word string, template int, tpos int, agree int"))
 
     some = files.where(F.size("hits") > 0)
-    ranked = some.select("file", F.transform("hits", lambda h: F.struct(ranks[h["word"]].alias("rank"), h["pos"].alias("pos"))).alias("hits"))
-    rarest = F.slice(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["rank"]))), 1, ANCHORS)
-    anchors = ranked.withColumn("rarest", rarest).select("file", F.explode(F.filter("hits", lambda h: F.array_contains("rarest", h["rank"]))).alias("h")).select("file", "h.rank", "h.pos")
+    found = some.select("file", F.explode("hits").alias("h")).select("file", "h.word", "h.pos")
     starts = (
-        anchors.join(index, "rank")
+        found.join(anchors, "word")
         .groupBy("file", "template", (F.col("pos") - F.col("tpos")).alias("start"))
-        .agg(F.count("*").alias("agreeing"))
+        .agg(F.count("*").alias("agreeing"), F.first("agree").alias("agree"))
+        .where(F.col("agreeing") == F.col("agree"))
         .join(enough, "template")
-        .where(F.col("agreeing") >= F.least(F.lit(AGREE), "indexed"))
     )
-    expected = starts.join(index.drop("rank"), "template").select("file", "template", "start", "label", "indexed", "needs", "needed", "word", (F.col("start") + F.col("tpos")).alias("pos"))
-    found = some.select("file", F.explode("hits").alias("h")).select("file", "h.word", "h.pos")
+    expected = starts.join(index, "template").select("file", "template", "start", "label", "indexed", "needs", "needed", "word", (F.col("start") + F.col("tpos")).alias("pos"))
     verified = (
         expected.join(found, ["file", "word", "pos"])
         .groupBy("file", "label", "template", "start", "indexed", "needs")
