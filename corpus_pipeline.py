@@ -34,7 +34,8 @@ def distinct_ones(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def unlike_ones(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that with the least id."""
+    """Keeps one document of each group of near-duplicates, that with the least id.
+    By op2's rule (3 bits, 3-word shingles), which misses most pairs of similarity 0.8: see the README."""
     return _without(docs, simhash.near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")))
 
 
