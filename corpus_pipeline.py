@@ -48,8 +48,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes each text, and decodes it again; a row for each copy."""
-    return bpe.digested(docs, RANKS, PATTERN)
+    """The token ids of each text, which is decoded again; a row for each copy."""
+    return bpe.digested(docs, RANKS, PATTERN, with_tokens=True)
 
 
 STAGES = [("quality", good_ones), ("exact_dedup", distinct_ones), ("near_dedup", unlike_ones), ("mixing", mix), ("byte_bpe", tokens)]

@@ -299,3 +299,34 @@ def test_pipeline(spark):
                 last[(r["text"] or "").translate(UP)] = max(r["doc_id"], last.get((r["text"] or "").translate(UP), -1))
             assert {r["doc_id"] for r in kept.collect()} == set(last.values())
     assert p.run(spark, SMALL).count() == kept.count()
+
+
+def test_pipeline_returns_tokens(spark, odd):
+    import corpus_pipeline as p
+
+    texts = {(r["doc_id"], r["text"] or "") for r in docs(spark, SMALL).collect()}
+    got = p.run(spark, SMALL).cache()
+    back = bpe.decoded(got, RANKS, PATTERN).collect()
+    assert back and {(r["doc_id"], bytes(r["content"]).decode()) for r in back} <= texts
+    assert all(len(r["tokens"]) == r["n_tokens"] and hashlib.sha256(" ".join(map(str, r["tokens"])).encode()).hexdigest() == r["ids_sha256"] for r in got.collect())
+    own = p.tokens(spark, odd, SMALL)
+    assert sorted(bytes(r["content"]) for r in bpe.decoded(own, RANKS, PATTERN).collect()) == sorted((t or "").encode() for _, t in ODD)
+    assert p.tokens(spark, odd.limit(0), SMALL).count() == 0
+
+
+def test_digested_in_parts(spark, monkeypatch):
+    """Batches of tokens are handed on in parts, with their own ids."""
+    import pyarrow as pa
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(bpe, "CELLS", 4)
+    texts = ["a b c d e", "", "f", None, "g h i j k l", "m"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    out = pa.Table.from_batches(bpe.digested(Docs(), RANKS, PATTERN, with_tokens=True)(iter([batch]))).to_pylist()
+    assert [r["doc_id"] for r in out] == list(range(6)) and [bpe.codec(RANKS, PATTERN).decode(r["tokens"]).decode() for r in out] == [t or "" for t in texts]

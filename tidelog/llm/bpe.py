@@ -251,18 +251,35 @@ def decoded(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", to
     return rows.select(F.col(id_col).cast("long").alias(id_col), F.col(tokens_col).alias("tokens")).mapInArrow(run, f"`{id_col}` long, content binary")
 
 
-def digested(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digested(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_tokens: bool = False) -> DataFrame:
     """Encodes and decodes again in one pass. Per row: the id, n_tokens, ids_sha256
-    (of the decimal ids, joined by one space), decoded_sha256."""
+    (of the decimal ids, joined by one space), decoded_sha256 and, if asked for,
+    tokens (array of int)."""
+    schema = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * with_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            n, ids_sha, sha = [], [], []
+            start, n, ids_sha, sha, values = 0, [], [], [], []
+
+            def made() -> pa.RecordBatch:
+                columns = [batch.column(0).slice(start, len(n)), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(sha, pa.string())]
+                if with_tokens:
+                    flat = pa.array(np.concatenate([np.zeros(0, np.int32), *values]), pa.int32())
+                    columns.append(pa.ListArray.from_arrays(pa.array([0, *np.cumsum(n, dtype=np.int64).tolist()], pa.int32()), flat))
+                return pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "tokens"][: len(columns)])
+
+            held = 0
             for ids in bpe.encode(batch.column(1).to_pylist()):
                 n.append(ids.count(" ") + bool(ids))
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 sha.append(hashlib.sha256(bpe.decode_decimals(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(sha, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_tokens:
+                    values.append(np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32))
+                    held += n[-1]
+                    if held >= CELLS:
+                        yield made()
+                        start, held, n, ids_sha, sha, values = start + len(n), 0, [], [], [], []
+            yield made()
+
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
