@@ -17,13 +17,18 @@ from tidelog.llm.queries import PATTERN, QUERIES, RANKS, new_index
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-ODD = [(1, None), (2, ""), (3, "MIT License. The Apache License; mit license mit license"), (4, "x" * 700 + " é\n\n  <s> " * 30), (5, "x" * 700 + " é\n\n  <s> " * 30), (6, "\U0001f600 a  b\tc"), (None, "no id"), (7, "General Public License"), (7, "General Public License")]
+ODD = [(1, None), (2, ""), (3, "MIT License. The Apache License; mit license mit license"), (4, "x" * 700 + " é\n\n  <s> " * 30), (5, "x" * 700 + " é\n\n  <s> " * 30), (6, "\U0001f600 a  b\tc"), (None, "no id"), (7, "General Public License"), (7, "General Public License"), (8, "One long text; of many lines.\n" * 20_000 + "y" * 300_000)]
+
+
+#: Names that the operators use themselves.
+CLASHING = "id bits size digest label of copies node root word words rank file variant source_size target _row _of _id _gone _stays _copies _carried0 at n score predicted".split()
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    """Nulls, empties, repeats and columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, None, "s" if i else None, None, "q", 1, 2, 3.0) for i, t in ODD], "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, bits int, size int, digest double")
+    """Nulls, empties, repeats, very long texts and columns whose names the operators use themselves."""
+    rows = spark.createDataFrame([(i, t, None, "s" if i else None, None) for i, t in ODD], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return rows.select("*", *(F.lit("q").alias(c) for c in CLASHING))
 
 
 def docs(spark, sf=SF):
@@ -291,27 +296,124 @@ def test_mixing(spark, odd):
     assert mixing.mixed(odd.limit(0)).count() == 0
 
 
+def jaccard_components(texts, size=5, least=0.8):
+    """(place, least place of its component) of each text, by all pairs that share a shingle."""
+    sets = []
+    for t in texts:
+        w = words_of(t)
+        sets.append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    at, seen = defaultdict(list), set()
+    for i, own in enumerate(sets):
+        for x in own:
+            at[x].append(i)
+    empty = [i for i, own in enumerate(sets) if not own]
+    for group in [*at.values(), empty]:
+        for k, i in enumerate(group):
+            for j in group[:k]:
+                if (i, j) not in seen:
+                    seen.add((i, j))
+                    if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                        a, b = find(i), find(j)
+                        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_duplicates_of_sets(spark, odd):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(400)}"
+    texts = []
+    for n in (8, 30, 60, 400):
+        for _ in range(12):
+            text = [word() for _ in range(n)]
+            texts.append(" ".join(text))
+            for _ in range(4):
+                other = list(text)
+                for _ in range(rng.randrange(1, 2 + n // 40)):
+                    other[rng.randrange(n)] = word()
+                texts.append(" ".join(other))
+    hot = [word() for _ in range(80)]
+    for _ in range(150):  # a group far above CROWDED
+        other = list(hot)
+        other[rng.randrange(80)] = word()
+        texts.append(" ".join(other))
+    texts += [None, "", " ", "two words", "two  WORDS", "a b c d e", "a b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates_of_sets(df).collect()}
+    want = dict(enumerate(jaccard_components(texts)))
+    assert len(got) == len(texts) and got == want and got[len(texts) - 1] == len(texts) - 2
+    real = [r for r in docs(spark).collect()]
+    want = jaccard_components([r["text"] for r in real])
+    groups = {r["doc_id"]: r["root"] for r in simhash.near_duplicates_of_sets(docs(spark)).collect()}
+    linked = [(i, j) for i, j in enumerate(want) if i != j]
+    met = sum(groups[real[i]["doc_id"]] == groups[real[j]["doc_id"]] for i, j in linked)
+    assert linked and met >= 0.98 * len(linked) and len(set(map(bytes, groups.values()))) >= len(set(want))
+    assert len(simhash.near_duplicates_of_sets(odd).collect()) == len(ODD) and simhash.near_duplicates_of_sets(odd.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
     kept = docs(spark, SMALL).select(*p.COLUMNS)
     for name, stage in p.STAGES:
         before, kept = kept, stage(spark, kept, SMALL).cache()
-        if name == "tokens" or name == "byte_bpe":
+        if name == "byte_bpe":
             assert kept.count() == before.count() and set(kept.columns) >= {"doc_id", "n_tokens"}
-        else:
-            assert kept.columns == list(p.COLUMNS) and {r["doc_id"] for r in kept.collect()} <= {r["doc_id"] for r in before.collect()}
+            continue
+        rows = before.collect()
+        assert kept.columns == list(p.COLUMNS) and {r["doc_id"] for r in kept.collect()} <= {r["doc_id"] for r in rows}
+        if name == "quality":
+            found = {r["doc_id"]: r["predicted"] for r in quality.scored(before, quality.trained(before, spark.read.parquet(f"{SMALL}/labels.parquet"))).collect()}
+            assert Counter(map(tuple, kept.collect())) == Counter(tuple(r) for r in rows if found[r["doc_id"]])
         if name == "near_dedup":
-            want = {c for _, _, c in brute_components([(r["doc_id"], r["text"]) for r in before.collect()])}
-            assert {r["doc_id"] for r in kept.collect()} == want
+            rows = sorted(rows, key=lambda r: r["doc_id"])
+            assert {r["doc_id"] for r in kept.collect()} == {rows[i]["doc_id"] for i in jaccard_components([r["text"] for r in rows])}
         if name == "exact_dedup":
             last = {}
-            for r in before.collect():
+            for r in rows:
                 last[(r["text"] or "").translate(UP)] = max(r["doc_id"], last.get((r["text"] or "").translate(UP), -1))
             assert {r["doc_id"] for r in kept.collect()} == set(last.values())
+        if name == "mixing":
+            copies = {r["doc_id"]: r["copies"] for r in mixing.mixed(before).collect()}
+            assert Counter(r["doc_id"] for r in kept.collect()) == Counter({i: n for i, n in copies.items() if n})
     assert p.run(spark, SMALL).count() == kept.count()
 
 
+def test_pipeline_decides_by_row(spark, odd):
+    """Ids that repeat with other texts, nulls, empties, ties, clashing columns, no rows."""
+    import corpus_pipeline as p
+
+    stages = dict(p.STAGES)
+    row = lambda i, t, s="s": (i, t, "en", s, len(t or ""))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    given = [row(7, "unique text a"), row(7, "shared text b"), row(9, "SHARED text b"), row(None, "shared text b"), row(None, "only without id"), row(None, "only without id"), row(3, None), row(4, ""), row(5, "twice"), row(5, "twice")]
+    frame = spark.createDataFrame(given, schema).select("*", *(F.lit(1).alias(c) for c in CLASHING))
+    want = sorted([row(7, "unique text a"), row(9, "SHARED text b"), row(None, "only without id"), row(4, ""), row(5, "twice")], key=str)
+    for stage in ("exact_dedup", "near_dedup"):
+        got = sorted(map(tuple, stages[stage](spark, frame, SMALL).collect()), key=str)
+        if stage == "near_dedup":
+            want = sorted([row(7, "unique text a"), row(7, "shared text b"), row(None, "only without id"), row(3, None), row(5, "twice")], key=str)
+        assert got == want, stage
+    good = " ".join(r["text"] for r in docs(spark, SMALL).where("lang = 'en'").limit(1).collect())
+    mixed = spark.createDataFrame([row(1, good, "a"), row(1, good + " more of it", "b"), row(None, good + " and more", "b"), row(2, "", "a")], schema)
+    for name in ("quality", "mixing"):
+        made = stages[name](spark, mixed, SF).collect()
+        assert {tuple(r) for r in made} <= {tuple(r) for r in mixed.collect()}
+    copies = Counter(tuple(r) for r in stages["mixing"](spark, mixed, SF).collect())
+    assert sum(copies.values()) == sum(r["copies"] for r in mixing.mixed(mixed).collect())
+    for name, stage in p.STAGES:
+        assert stage(spark, odd, SMALL).count() <= 3 * len(ODD), name
+        assert stage(spark, odd.limit(0), SMALL).count() == 0, name
+        read = docs(spark, SMALL).select(*p.COLUMNS)
+        assert stage(spark, read.limit(0), SMALL).count() == 0
+
+
 def test_pipeline_returns_tokens(spark, odd):
     import corpus_pipeline as p
 

@@ -42,7 +42,26 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def addressed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of each row and ``_row``, which no other row has and which is the same
+    whenever the rows are read again: a row's file and place in it, where ``docs`` is a scan
+    of files without more than a selection; anything else is written first."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.nodeName().startswith("LogicalRelation"):
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return docs.select(*columns, place.alias("_row"))
+    place = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return staged(docs.select(*columns, place.alias("_row")), "rows")
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased and nothing else. ``lower`` does just that to a text that
     is ASCII throughout, at a multiple of the speed of ``translate``."""
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))
+
+
+def carrying(docs: DataFrame, carry: tuple[str, ...]) -> tuple[list[Column], list[Column]]:
+    """Columns that pass through an operator: as they go in, under names of their own, and as they come out."""
+    return [F.col(c).alias(f"_carried{i}") for i, c in enumerate(carry)], [F.col(f"_carried{i}").alias(c) for i, c in enumerate(carry)]

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words whose hashes a worker remembers.
 REMEMBERED = 500_000
@@ -62,15 +63,24 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, trains
     hash of their id: (id, text, label, and ``more``). Null labels are none. The ids
     are few, so the documents are found without shuffling them."""
     few = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & trains).groupBy(id_col).agg(F.max(label_col).alias("label")).orderBy(F.xxhash64(id_col), id_col).limit(most)
-    few = few.select(F.col(id_col).alias("of"), "label")
-    return docs.join(F.broadcast(few), F.col(id_col) == F.col("of")).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col("label").cast("int").alias("label"), *more)
+    few = few.select(F.col(id_col).cast("long").alias("id"), F.col("label").cast("int").alias("label"))
+    # what else the documents hold is left behind first, so that no name is there twice
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
+    return own.join(F.broadcast(few), "id").select("id", "text", "label", *more)
 
 
-def mapped(rows: DataFrame, make, schema: str, out: pa.Schema) -> DataFrame:
-    """``make``: a list of columns from a batch's columns, as lists of Python values."""
+def mapped(rows: DataFrame, make, out: pa.Schema, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``make``: a list of columns from a batch's columns, as lists of Python values. The
+    ``carried`` ones come last in ``rows``; ``make`` doesn't see them, and they follow as they are."""
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.list_(pa.int32()): "array<int>", pa.list_(pa.float32()): "array<float>", pa.list_(pa.float64()): "array<double>"}
+    schema = T.StructType.fromDDL(", ".join(f"`{f.name}` {kinds[f.type]}" for f in out))
+    for c in carried:
+        schema = schema.add(rows.schema[c])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(make(*(c.to_pylist() for c in batch.columns)), out, strict=True)], schema=out)
+            n = batch.num_columns - len(carried)
+            own = [pa.array(c, f.type) for c, f in zip(make(*(c.to_pylist() for c in batch.columns[:n])), out, strict=True)]
+            yield pa.RecordBatch.from_arrays([*own, *batch.columns[n:]], [*out.names, *carried])
 
     return rows.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import carrying, staged
 
 #: A document's size: its words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,13 +54,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return levels.withColumn("final", final).select("source", "source_size", "weight", F.least("limit", F.col("weight") * F.col("final")).alias("target"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: the id, size, source_size, target, copies (how
-    often the mix emits it), taken (copies times size)."""
+    often the mix emits it), taken (copies times size), and the columns of ``carry``."""
+    into, out_of = carrying(docs, carry)
     words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     # a name that is never null and puts null last
     source = F.coalesce(F.concat(F.lit("a"), F.col(source_col)), F.lit("b"))
-    sized = staged(docs.select(F.col(id_col).cast("long").alias("id"), source.alias("source"), words.alias("size")), "sizes")
+    sized = staged(docs.select(F.col(id_col).cast("long").alias("id"), source.alias("source"), words.alias("size"), *into), "sizes")
     slices = sized.count() // SLICE_ROWS + 1
     cut = sized.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(slices)))
     by_slice = staged(cut.groupBy("source", "size", "slice").agg(F.count("*").alias("n")), "slices")
@@ -71,9 +72,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     before_slice = by_slice.withColumn("before_slice", earlier(Window.partitionBy("source", "size").orderBy("slice"))).drop("n")
     starts = before_slice.join(before_size, ["source", "size"]).join(sources.drop("weight"), "source")
     key = ["source", "size", "slice"]
-    placed = cut.withColumn("row", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).join(starts, key)
+    placed = cut.withColumn("row", F.row_number().over(Window.partitionBy(*key).orderBy("id", *(c for c in cut.columns if c.startswith("_carried"))))).join(starts, key)
     rank = F.col("before_size") + F.col("before_slice") + F.col("row")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = (F.floor(rank * each + offset) - F.floor((rank - 1) * each + offset)).cast("long")
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *out_of)

@@ -10,9 +10,10 @@ It is fitted on the driver, on at most ``MOST`` labelled rows, by AdaGrad from a
 fixed seed, and sent to the workers with the task (about 1.2 MB whatever the corpus).
 
 Defined cases: null and empty texts have no words and are scored by their
-statistics; null labels are none; without any label the score is 0.5; rows that
-repeat an id are scored one by one; an empty table gives no rows; other columns are
-ignored.
+statistics; texts of any length are read whole, one at a time; null labels are none, of
+several labels of an id the largest counts; a null id is scored and never learnt from;
+without any label the score is 0.5; rows that repeat an id are scored one by one; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import carrying
 from .features import STATISTICS, hashed, mapped, sample, structure
 
 #: Labelled rows to fit on, at most; buckets of hashed words; latent factors.
@@ -112,15 +114,16 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Machine | N
         return ids, marks, *([f[k] for f in found] for k in range(3))
 
     out = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float32())), ("stats", pa.list_(pa.float64()))])
-    got = mapped(rows.select("id", "text", "label", F.col("n_chars").cast("long")), make, "id long, label int, index array<int>, value array<float>, stats array<double>", out).toPandas().sort_values("id")
+    got = mapped(rows.select("id", "text", "label", F.col("n_chars").cast("long")), make, out).toPandas().sort_values("id")
     if got.empty:
         return None
     found = [(np.asarray(i, np.int64), np.asarray(v, np.float64), s) for i, v, s in zip(got["index"], got["value"], got["stats"], strict=True)]
     return fit(found, (got["label"].to_numpy() > 0).astype(float))
 
 
-def scored(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: the id, held_out, score (0 to 1, higher: better), predicted."""
+def scored(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: the id, held_out, score (0 to 1, higher: better), predicted,
+    and the columns of ``carry`` as they are (which may be the id again)."""
 
     def make(ids, texts, n_chars):
         if machine is None or not ids:
@@ -131,6 +134,9 @@ def scored(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id") ->
             scores += (1 / (1 + np.exp(-np.clip(logit, -30, 30)))).tolist()
         return ids, scores
 
+    into, out_of = carrying(docs, carry)
     out = pa.schema([("id", pa.int64()), ("score", pa.float64())])
-    got = mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col("text"), F.col("n_chars").cast("long")), make, "id long, score double", out)
-    return got.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text"), F.col("n_chars").cast("long"), *into)
+    got = mapped(rows, make, out, tuple(f"_carried{i}" for i in range(len(carry))))
+    own = [F.col("id").alias(id_col)] if id_col not in carry else []
+    return got.select(*own, F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"), *out_of)

@@ -39,7 +39,9 @@ def new_index(spark: SparkSession) -> DigestIndex:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = new_index(spark).ingest(table(spark, sf_dir, "documents"))
+    index = new_index(spark)
+    found = index.ingest(table(spark, sf_dir, "documents"))
+    index.drop()
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

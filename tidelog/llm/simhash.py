@@ -19,21 +19,25 @@ between distinct fingerprints, each step written to the shared folder.
 Defined cases: null and empty texts, and those without a word, have fingerprint
 zero and are linked like any other; equal fingerprints are one node, however many
 rows share them; a null id takes no part in naming a component (which is null if
-there is no other); an empty table gives no rows; other columns are ignored.
+there is no other); rows that repeat an id each have their own text's component; texts
+of any length are read whole; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import UPPER, staged
+from . import signatures
+from .common import UPPER, carrying, staged
 
 BITS, SHINGLE, SEED = 3, 3, 42
 #: Distinct fingerprints of one variant above which pairs give way to hubs.
@@ -62,14 +66,16 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id and ``bits`` (long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Sequence[Column] = ()) -> DataFrame:
+    """Per row: the id and ``bits`` (long), and the columns of ``more``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("bits", T.LongType()), *rows.schema.fields[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.as_py()) for x in batch.column(1)], pa.int64())], ["id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.as_py()) for x in batch.column(1)], pa.int64()), *batch.columns[2:]], schema.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, bits long")
+    return rows.mapInArrow(run, schema)
 
 
 def _variants(nodes: DataFrame) -> DataFrame:
@@ -143,14 +149,30 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: the id, bits (long), component_id (the least id that its
-    links reach), component_size."""
-    prints = staged(fingerprints(docs, id_col, text_col), "prints")
+    links reach), component_size, root (what all rows of a component share), and the
+    columns of ``carry``."""
+    into, out_of = carrying(docs, carry)
+    prints = staged(fingerprints(docs, id_col, text_col, into), "prints")
     nodes = staged(prints.groupBy("bits").agg(F.min("id").alias("id"), F.count("*").alias("n")), "nodes")
-    roots = components(links(nodes.select("bits"), crowded))
-    named = nodes.join(roots, nodes["bits"] == roots["node"], "left").select("bits", "id", "n", F.coalesce("root", "bits").alias("root"))
-    whole = named.groupBy("root").agg(F.min("id").alias("component_id"), F.sum("n").alias("component_size"))
-    of = named.select(F.col("bits").alias("of"), "root").join(whole, "root").drop("root")
+    of = _rooted(nodes, "bits", links(nodes.select("bits"), crowded))
     # one fingerprint can own a third of the rows: a skewed partition of this join is split as it runs
-    return prints.join(of.hint("merge"), F.col("bits") == F.col("of")).select(F.col("id").alias(id_col), "bits", "component_id", "component_size")
+    return prints.join(of.hint("merge"), F.col("bits") == F.col("of")).select(F.col("id").alias(id_col), "bits", "component_id", "component_size", "root", *out_of)
+
+
+def near_duplicates_of_sets(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The same by the similarity of the sets of shingles (see ``signatures``): per row of
+    ``docs``, the id, node (names its set), component_id, component_size, root and ``carry``."""
+    into, out_of = carrying(docs, carry)
+    rows, nodes, found = signatures.similar(docs, similarity, shingle, id_col, text_col, into)
+    of = _rooted(nodes, "node", found)
+    return rows.join(of.hint("merge"), F.col("node") == F.col("of")).select(F.col("id").alias(id_col), "node", "component_id", "component_size", "root", *out_of)
+
+
+def _rooted(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """(of, root, component_id, component_size), written: for each of ``nodes`` (key, id, n)."""
+    roots = components(edges)
+    named = nodes.join(roots, nodes[key] == roots["node"], "left").select(nodes[key].alias("of"), "id", "n", F.coalesce("root", nodes[key]).alias("root"))
+    whole = named.groupBy("root").agg(F.min("id").alias("component_id"), F.sum("n").alias("component_size"))
+    return staged(named.select("of", "root").join(whole, "root"), "rooted")

@@ -190,7 +190,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Chain | Non
         return ids, marks, *([f[k] for f in found] for k in range(2))
 
     out = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("index", pa.list_(pa.int32())), ("stats", pa.list_(pa.float64()))])
-    got = mapped(rows, make, "id long, label int, index array<int>, stats array<double>", out).toArrow().combine_chunks().sort_by("id")
+    got = mapped(rows, make, out).toArrow().combine_chunks().sort_by("id")
     if not got.num_rows:
         return None
     index = [part for chunk in got["index"].chunks for part in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
@@ -208,5 +208,5 @@ def scored(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_co
 
     names = [f"p_{c}" for c in CATEGORIES]
     out = pa.schema([("id", pa.int64()), *((n, pa.float64()) for n in names)])
-    got = mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "id long, " + ", ".join(f"{n} double" for n in names), out)
+    got = mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, out)
     return got.select(F.col("id").alias(id_col), *names, F.col("p_toxic").alias("score"), (F.col("p_toxic") >= F.lit(chain.threshold if chain else 1.0)).cast("int").alias("toxic"))
