@@ -1,9 +1,17 @@
 """From raw documents to tokens, in five stages. Each gets the documents that the one
 before has kept and returns documents, with the same columns; the last returns tokens.
 
-Rows are matched to an operator's decisions by doc_id; documents that share one share
-its decision. Rows with a null doc_id pass the stages that only drop documents and
-are left out by the mix.
+Decisions are made for rows, not for ids: a row goes by its own text, whatever other rows
+share its doc_id. Rows are told apart by their place in the files that they are read from
+(``addressed``), or by a number given as they are written, if they aren't read from files.
+
+Defined cases: null and empty texts are documents like others (equal to each other, and one
+of them stays); a row with a null doc_id is kept or dropped by the same rules, and stays only
+where no copy of its text has an id; of rows equal in id and text one stays; of rows that
+repeat an id with different texts each stands for itself; ties go to the row that is read
+last (exact_dedup) or first (near_dedup); texts of any length are read whole; an empty
+table gives no rows in any stage; columns beyond those of documents are left behind,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -12,39 +20,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, mixing, quality, simhash
-from tidelog.llm.common import staged, table
+from tidelog.llm.common import addressed, staged, table
 from tidelog.llm.queries import PATTERN, RANKS, new_index
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near-duplicates: words of a shingle, similarity of the sets of shingles.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+def _only(rows: DataFrame, stays: DataFrame) -> DataFrame:
+    """The ``rows`` whose place ``stays`` holds."""
+    return rows.join(stays.select(F.col("_row").alias("_stays")), F.col("_row") == F.col("_stays"), "left_semi").select(*COLUMNS)
 
 
 def good_ones(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality classifier rejects. It learns from the labels of these documents."""
-    scores = quality.scored(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
-    return _without(docs, staged(scores.where(F.col("predicted") == 0).select("doc_id"), "rejected"))
+    scores = quality.scored(docs, quality.trained(docs, table(spark, sf_dir, "labels")), carry=COLUMNS)
+    return scores.where(F.col("predicted") == 1).select(*COLUMNS)
 
 
 def distinct_ones(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    return _without(docs, new_index(spark).ingest(docs).where(~F.col("kept")))
+    rows = addressed(docs, *COLUMNS)
+    index = new_index(spark)
+    kept = index.ingest(rows, carry=("_row",)).where("kept")
+    index.drop()
+    # several rows are kept where they repeat the id, too
+    return _only(rows, kept.groupBy("digest").agg(F.max("_row").alias("_row")))
 
 
 def unlike_ones(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that with the least id.
-    By op2's rule (3 bits, 3-word shingles), which misses most pairs of similarity 0.8: see the README."""
-    return _without(docs, simhash.near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")))
+    """Keeps one document of each group of near-duplicates, that with the least id."""
+    rows = addressed(docs, *COLUMNS)
+    found = simhash.near_duplicates_of_sets(rows, SIMILARITY, SHINGLE, carry=("_row",))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    return _only(rows, found.groupBy("root").agg(first.alias("_row")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and drops documents so that sources reach their target weights."""
-    copies = mixing.mixed(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    taken = copies.where(F.col("_copies") > 0).withColumnRenamed("doc_id", "_id")
-    met = docs.join(taken, F.col("doc_id") == F.col("_id"))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*COLUMNS)
+    rows = addressed(docs, *COLUMNS)
+    taken = mixing.mixed(rows, carry=("_row",)).where(F.col("copies") > 0).select(F.col("_row").alias("_taken"), F.col("copies").cast("int").alias("_copies"))
+    met = rows.join(taken, F.col("_row") == F.col("_taken"))
+    return met.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "_copies"))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
