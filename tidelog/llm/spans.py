@@ -17,8 +17,9 @@ between these.
 Defined cases: null and empty texts, and those without a run, stay as they are; a
 text may be removed in whole, which leaves it empty; a null id comes before all
 others; rows that repeat an id share their positions: of equal runs at the same
-place all stay, and each such row loses what any of them loses; an empty table gives
-no rows; other columns are ignored.
+place all stay, and each such row loses what any of them loses; texts of any length are
+read whole, one at a time; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -120,7 +121,7 @@ def runs(words: list[str], ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, gone): for each document that loses any, the sentences that it loses."""
+    """(id, runs: first, n): for each document that loses any sentences, the runs that cover them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,15 +134,26 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True))], ["id", "run", "first", "n"])
 
     every = staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, run long, first int, n int"), "runs")
-    # most runs are unique: a count by hash is all that is gathered of them
-    twice = every.groupBy("run").count().where(F.col("count") > 1).select(F.col("run").alias("of"))
-    # one run can stand in a third of the documents: a skewed partition of these joins is split as it runs
+    # most runs are unique: a count by hash is all that is gathered of them. One run can stand in a third of the
+    # documents: what it is joined with is written first, so that a skewed partition of a join is split as it runs
+    twice = staged(every.groupBy("run").count().where(F.col("count") > 1).select(F.col("run").alias("of")), "twice")
     shared = staged(every.join(twice.hint("merge"), F.col("run") == F.col("of")).drop("of"), "shared")
     place = F.struct(F.col("id").isNotNull(), "id", "first")
-    firsts = shared.groupBy("run").agg(F.min(place).alias("place")).select(F.col("run").alias("of"), F.col("place.id").alias("first_id"), F.col("place.first").alias("first_at"))
+    firsts = staged(shared.groupBy("run").agg(F.min(place).alias("place")).select(F.col("run").alias("of"), F.col("place.id").alias("first_id"), F.col("place.first").alias("first_at")), "firsts")
     others = shared.join(firsts.hint("merge"), F.col("run") == F.col("of")).where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("first") == F.col("first_at"))))
-    covered = others.select("id", "first", "n").distinct().select("id", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("at"))
-    return staged(covered.groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("gone")), "gone")
+    # a document has at most two runs for each of its sentences, whatever the rows that share its id
+    return staged(others.select("id", "first", "n").distinct().groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "gone")
+
+
+def covered(found: list[dict] | None) -> list[int]:
+    """The sentences that any of the runs covers."""
+    if not found:
+        return []
+    first, n = (np.array([r[k] for r in found], np.int64) for k in ("first", "n"))
+    steps = np.zeros(int((first + n).max()) + 1, np.int64)
+    np.add.at(steps, first, 1)
+    np.add.at(steps, first + n, -1)
+    return np.nonzero(np.cumsum(steps) > 0)[0].tolist()
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +164,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text, gone in zip(batch.column(1), batch.column(2), strict=True):
-                text, gone = text.as_py(), gone.as_py() or []
+                text, gone = text.as_py(), covered(gone.as_py())
                 ends = [0, *cut_ends(text or "")[1]]
                 out[0].append(len(ends) - 1)
                 out[1].append(len(gone))
@@ -169,4 +181,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     gone = repeated(docs, id_col, text_col)
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(gone.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left")
-    return kept.select("id", "text", "gone").mapInArrow(run, f"`{id_col}` long, n_sentences long, n_removed long, removed_words long, text string")
+    return kept.select("id", "text", "runs").mapInArrow(run, f"`{id_col}` long, n_sentences long, n_removed long, removed_words long, text string")
