@@ -12,13 +12,14 @@ reversibly.
     assistant  <s> text </s>
     others     <<ROLE>> role <</ROLE>> [INST] text [/INST]
 
-(without the spaces). Rows are sorted by conversation and turn within partitions
-and pass through one by one, so that a conversation of any length takes the memory of
-a batch.
+(without the spaces). Rows are encoded where they are read, however they are shared out
+among conversations; for digests, what is read back is sorted by conversation and turn
+and passes one by one, so that a conversation of any length takes the memory of a batch.
 
 Defined cases: null text is empty; a null role is the empty role; null turns come
-first; rows that tie on turn are ordered by role and text; a null conv_id is a
-conversation of its own; an empty table gives no rows; other columns are ignored.
+first; rows that tie on turn are ordered by role and text, so equal ones count each;
+texts of any length are read whole; a null conv_id is a conversation of its own; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -105,15 +106,14 @@ class Template:
                 role = None
 
 
-def _sorted(rows: DataFrame) -> DataFrame:
-    keep = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    return keep.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+_READ = pa.schema([("role", pa.string()), ("text", pa.string()), ("learnt", pa.bool_()), ("chars", pa.int64()), ("n_tokens", pa.int64())])
+_DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def formatted(rows: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per turn, in order within its conversation: conv_id, turn, tokens (array of
-    int), loss (array of boolean). A conversation's turns, one after the other, are
-    its formatted form."""
+    """Per turn: conv_id, turn, role, text, tokens (array of int), loss (array of
+    boolean). The tokens of a conversation's turns, sorted by turn, role and text, one after
+    the other, are its formatted form. Encodes rows where they are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(path, pattern)
@@ -121,39 +121,56 @@ def formatted(rows: DataFrame, path: str, pattern: str) -> DataFrame:
             made = list(template.turns(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))))
             tokens = pa.array([t for t, _ in made], pa.list_(pa.int32()))
             loss = pa.array([m for _, m in made], pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), tokens, loss], ["conv_id", "turn", "tokens", "loss"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), batch.column(2), batch.column(3), tokens, loss], ["conv_id", "turn", "role", "text", "tokens", "loss"])
 
-    return _sorted(rows).mapInArrow(run, "conv_id long, turn long, tokens array<int>, loss array<boolean>")
+    keep = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return keep.mapInArrow(run, "conv_id long, turn long, role string, text string, tokens array<int>, loss array<boolean>")
 
 
 def digested(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     """Formats each conversation and reads it back. Per conversation: conv_id, n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens."""
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64())])
+    turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A turn is encoded and read back where its row is read; what is read goes to its
+    conversation's task, which only puts it through the digests. They take one turn
+    after the other, so that part can't be split."""
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(path, pattern)
+        for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for tokens, loss in template.turns(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))):
+                ((role, text),) = template.read(tokens)
+                learnt = unescape(template.text(tokens[loss]))
+                if learnt not in ("", text):
+                    raise ValueError("the loss mask holds part of a turn's text")
+                for column, x in zip(out, (role, text, bool(learnt), len(template.written(tokens)), len(tokens)), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, f.type) for x, f in zip(out, _READ, strict=True))], ["conv_id", "turn", *_READ.names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list | None = None
         for batch in batches:
             done = []
-            made = template.turns(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)))
-            for conv, (tokens, loss) in zip(batch.column(0).to_pylist(), made, strict=True):
+            for conv, _, role, text, learnt, chars, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is None or now[0] != conv:
                     if now:
                         done.append(now)
                     now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                for role, text in template.read(tokens):
-                    now[1] += 1
-                    now[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                learnt = unescape(template.text(tokens[loss]))
-                now[3] += len(learnt)
-                now[4].update(learnt.encode("utf-8", "surrogatepass"))
-                now[5] += len(template.written(tokens))
-                now[6] += len(tokens)
-            yield _closed(done, schema)
-        yield _closed([now] if now else [], schema)
-
-    return _sorted(rows).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+                now[1] += 1
+                now[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                if learnt:
+                    now[3] += len(text)
+                    now[4].update(text.encode("utf-8", "surrogatepass"))
+                now[5] += chars
+                now[6] += n
+            yield _closed(done, _DIGESTS)
+        yield _closed([now] if now else [], _DIGESTS)
+
+    keep = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    read = keep.mapInArrow(back, "conv_id long, turn long, role string, text string, learnt boolean, chars long, n_tokens long")
+    together = read.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return together.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
 
 
 def _closed(found: list[list], schema: pa.Schema) -> pa.RecordBatch:
