@@ -123,3 +123,69 @@ def test_captured_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("captured").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("captured").collect())) == sorted(map(tuple, capture.captured_batch(df).collect()))
+
+
+def test_described_changes(spark):
+    long = "y words\n" * 3000
+    pairs = [("a\nb\nc\n", "a\nquantum_flux x\nc\n"), ("", "orange window here\n"), ("gone window remain", ""), ("a\x00b", "binary window"), ("same\n", "same\n"), ("x\n" * 3000, long)]
+    rows = text.described(spark.createDataFrame(pairs, "old string, new string")).collect()
+    got = {r["old"]: (tuple(r["range"]), r["lines"], r["tags"]) for r in rows}
+    assert got["a\nb\nc\n"] == ((2, 2), "quantum_flux x", "#quantum_flux") and got[""] == ((1, 1), "orange window here", "#here #orange #window")
+    assert got["gone window remain"][2] == "#gone #remain #window" and got["a\x00b"][2] == "" and got["same\n"] == ((1, 1), "same", "#same")
+    assert got["x\n" * 3000] == ((1, 3000), "\n".join(["y words"] * (8192 // 8)), "#words")
+    for r in rows:
+        assert tuple(one(spark, text.changed_range, r["old"], r["new"])) == tuple(r["range"]) and one(spark, text.changed_lines, r["old"], r["new"]) == r["lines"]
+
+
+def test_delta_of_large_contents():
+    import random
+
+    rng = random.Random(1)
+    old = bytes(rng.randrange(256) for _ in range(100_000))
+    new = bytearray(old)
+    new[1_000] ^= 1
+    new[90_000] ^= 1
+    assert len(codec.delta_encode_bytes(old, bytes(new))) < 100
+    for b, most in ((old[50_000:] + b"new" + old[:50_000], 100), (old[:70_000] * 2, 100), (b"x" + old + b"y", 100), (old[::-1], 101_000)):
+        delta = codec.delta_encode_bytes(old, b)
+        assert len(delta) < most and codec.delta_decode_bytes(old, delta) == b
+    for _ in range(300):
+        a = bytes(rng.choice(b"ab") if rng.random() < 0.5 else rng.randrange(256) for _ in range(rng.randrange(300)))
+        b = bytearray(a)
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(40)] = rng.choice([b"", a[:50], bytes(rng.randrange(256) for _ in range(20))])
+        assert codec.delta_decode_bytes(a, codec.delta_encode_bytes(a, bytes(b))) == bytes(b)
+
+
+def test_dedup_records(spark):
+    """Contents as blocks, replayed; a lost or damaged block is a fault of its path."""
+    from tidelog.operators import blocks
+
+    big = bytes(range(256)) * 5
+    rows = [("r", "p", 1, 1, CREATE, len(big), big), ("r", "p", 2, 2, MODIFY, len(big) + 1, codec.delta_encode_bytes(big, big + b"z")), ("r", "q", 1, 3, CREATE, 3, b"abc"), ("r", "s", 1, 4, CREATE, len(big) + 7, big + b"another"), ("r", "t", 1, 5, DELETE, 0, b"")]
+    log = spark.createDataFrame(rows, "repo string, path string, ts_ns bigint, seq bigint, event_type int, file_size bigint, payload binary")
+    made, refs, pool = blocks.deduplicated(log, 1000, 256)
+    kinds = {r["seq"]: (r["event_type"], len(r["payload"])) for r in made.collect()}
+    assert kinds == {1: (CREATE_DEDUP, 5 * 32), 2: (MODIFY, kinds[2][1]), 3: (CREATE, 3), 4: (CREATE_DEDUP, 6 * 32), 5: (DELETE, 0)} and pool.count() == 2
+    assert sorted(map(tuple, refs.collect())) == sorted(map(tuple, blocks.references(made).collect()))
+    whole = {r["seq"]: (r["content"] and bytes(r["content"]), r["fault"]) for r in replay.versions(made, pool).collect()}
+    assert whole == {1: (big, None), 2: (big + b"z", None), 3: (b"abc", None), 4: (big + b"another", None), 5: (None, None)}
+    for broken in (pool.where("size < 256"), pool.withColumn("data", F.when(F.col("size") == 256, F.lit(b"x")).otherwise(F.col("data"))), pool.limit(0)):
+        assert {r["seq"]: r["fault"] for r in replay.versions(made, broken).collect()} == {1: "block", 2: None, 3: None, 4: "block", 5: None}
+    assert {r["seq"]: r["fault"] for r in replay.versions(made).collect()}[1] == "block"
+    assert sorted(r["path"] for r in replay.content_as_of(made, 1, pool).collect()) == ["p", "q", "s"]
+    assert {r["seq"] for r in replay.compacted(made, 0).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_compacted_payloads(spark):
+    contents = [b"v%d\n" % i * 40 for i in range(20)]
+    rows = [("r", "p", 1, 1, CREATE, len(contents[0]), contents[0])]
+    rows += [("r", "p", i + 1, i + 1, MODIFY, len(b), codec.delta_encode_bytes(a, b)) for i, (a, b) in enumerate(zip(contents, contents[1:]), 1)]
+    rows += [("r", "p", 50, 50, DELETE, 0, b""), ("r", "p", 51, 51, CREATE, 1, b"x")]
+    rows += [("r", "bad", i, 100 + i, CREATE if i == 1 else MODIFY, 5, b"12345" if i == 1 else b"\xff" * 9) for i in range(1, 30)]
+    log = spark.createDataFrame(rows, "repo string, path string, ts_ns bigint, seq bigint, event_type int, file_size bigint, payload binary")
+    out = replay.compacted(log)
+    assert sorted(r["seq"] for r in out.where("path = 'p'").collect()) == [1, 20, 50, 51] and out.where("path = 'bad'").count() == 29
+    state = {r["seq"]: r["content"] and bytes(r["content"]) for r in replay.versions(out.where("path = 'p'")).collect()}
+    assert state == {1: contents[0], 20: contents[19], 50: None, 51: b"x"}

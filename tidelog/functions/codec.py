@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,28 +34,63 @@ def header(ts_ns: Column, event_type: Column, path_len: Column, delta_size: Colu
     return F.concat(little_endian(ts_ns, 8), little_endian(event_type, 1), little_endian(path_len, 4), little_endian(delta_size, 4), little_endian(file_size, 8))
 
 
+#: Bytes of the old content's blocks, of which one has to stand in the new content for a copy to be found.
+COPY_BLOCK = 32
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Leading bytes that two arrays share."""
+    n, at, step = min(len(a), len(b)), 0, 64
+    while at < n:
+        differ = a[at : at + step] != b[at : at + step] if at + step <= n else a[at:n] != b[at:n]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, step = min(n, at + step), step * 4
+    return n
+
+
+def _windows(x: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` bytes, up to a factor that depends on its place."""
+    powers = np.cumprod(np.full(len(x), _BASE, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * powers)])
+    back = np.cumprod(np.full(max(0, len(x) - size + 1), np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64))
+    return (sums[size:] - sums[:-size])[: len(back)] * back
+
+
 def delta_encode_bytes(old: bytes, new: bytes) -> bytes:
     """Copies from the old content and inserts of new: (offset u32, length u32) with
     the top bit of the length set for an insert, whose bytes follow. Empty for empty
-    content. Only the middle that differs is searched for copies."""
+    content. What both ends share is two copies; between them, blocks of all the old
+    content are looked up at every place of the new by hash, and a hit is extended both ways
+    as far as it goes. Work is linear in both contents, but for what repeats many times."""
     if not new:
         return b""
-    head = 0
-    while head < min(len(old), len(new)) and old[head] == new[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
-        tail += 1
-    a, b = old[head : len(old) - tail], new[head : len(new) - tail]
+    a, b = np.frombuffer(old, np.uint8), np.frombuffer(new, np.uint8)
+    head = _shared(a, b)
+    tail = _shared(a[head:][::-1], b[head:][::-1])
+    b = b[head : len(b) - tail]
     ops: list[tuple[int, int, bytes | None]] = [(0, head, None)] if head else []
-    if len(a) * len(b) <= 1 << 20:
-        for kind, i, j, k, n in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            if kind == "equal" and n - k > 8:
-                ops.append((head + i, j - i, None))
-            elif n > k:
-                ops.append((0, n - k, b[k:n]))
-    elif b:
-        ops.append((0, len(b), b))
+    done = 0
+    if len(a) >= COPY_BLOCK <= len(b):
+        starts = np.arange(0, len(a) - COPY_BLOCK + 1, COPY_BLOCK)
+        known, first = np.unique(_windows(a, COPY_BLOCK)[starts], return_index=True)
+        hashes = _windows(b, COPY_BLOCK)
+        slot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        for i in np.nonzero(known[slot] == hashes)[0].tolist():
+            if i < done:
+                continue
+            j = int(starts[first[slot[i]]])
+            n = _shared(a[j:], b[i:])
+            if n < COPY_BLOCK:
+                continue
+            before = _shared(a[max(0, j - (i - done)) : j][::-1], b[done:i][::-1])
+            if i - before > done:
+                ops.append((0, i - before - done, b[done : i - before].tobytes()))
+            ops.append((j - before, n + before, None))
+            done = i + n
+    if done < len(b):
+        ops.append((0, len(b) - done, b[done:].tobytes()))
     if tail:
         ops.append((len(old) - tail, tail, None))
     return b"".join(struct.pack("<II", at, n | (data is not None) << 31) + (data or b"") for at, n, data in ops)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..model import label
+
 KIB, MIB, GIB = 1 << 10, 1 << 20, 1 << 30
 
 
@@ -36,3 +38,9 @@ def timestamp(ns: Column) -> Column:
 def ratio(delta: Column, size: Column) -> Column:
     """Percent; 0 for an empty file."""
     return F.when(size > 0, 100.0 * delta / size).otherwise(F.lit(0.0))
+
+
+def log_line(ns: Column, event_type: Column, path: Column, size: Column) -> Column:
+    """SC13: a record as a line, its time to the millisecond."""
+    at = F.date_format(F.timestamp_micros(_div(ns, 1000)), "yyyy-MM-dd HH:mm:ss.SSS")
+    return F.format_string("[%s] %-8s %s (%d B)", at, label(event_type), path, size)

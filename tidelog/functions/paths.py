@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 EXCLUDED_DIRS = (".git", "node_modules", "__pycache__", "target", ".cache", ".tidelog")
 #: Fixed value: part of the name of a file that is being restored.
 TEMPORARY = ".tt_tmp_"
-#: Names of files that are never captured.
+#: Names of files that are never captured. Two that are the tool's own files are left out on purpose.
 EXCLUDED_NAMES = (
     "*.o", "*.obj", "*.pyc", "*.pyo", "*.swp", "*.swo", "*~",
     "*.tmp", "*.part", "*.download", "*.ttd",

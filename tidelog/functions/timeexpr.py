@@ -45,6 +45,11 @@ def time_expr(expr: Column, now_ns: int) -> Column:
     return F.when(expr.isNull() | (expr == "") | (expr == "now"), F.lit(now_ns)).otherwise(F.coalesce(stamp, ago))
 
 
+def is_integer(arg: Column) -> Column:
+    """Whether all of it is a whole number of 64 bits; white space may lead."""
+    return F.coalesce(arg.rlike(r"^\s*[+-]?[0-9]+\z"), F.lit(False)) & F.trim(arg).try_cast("bigint").isNotNull()
+
+
 @dataclass(frozen=True)
 class Target:
     """A revision, or the last at a time (None: the latest of all)."""

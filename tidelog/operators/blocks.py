@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import BLOCK_BYTES
+from ..model import BLOCK_BYTES, CREATE, CREATE_DEDUP, DEDUP_FROM, HASH_BYTES
 
 
 def split(files: DataFrame, size: int = BLOCK_BYTES, content: str = "content", digest=lambda c: F.sha2(c, 256)) -> DataFrame:
@@ -47,3 +47,38 @@ def verified(refs: DataFrame, pool: DataFrame, digest=lambda c: F.sha2(c, 256))
     met = refs.join(pool.select("hash", F.col("size").alias("_size"), F.col("data").alias("_data")), "hash", "left")
     fault = F.when(F.col("_data").isNull(), "missing").when(F.length("_data") != F.col("_size"), "size").when(digest(F.col("_data")) != F.col("hash"), "hash")
     return met.withColumn("fault", fault).drop("_size", "_data")
+
+
+def deduplicated(records: DataFrame, at_least: int = DEDUP_FROM, size: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SK3: full records of ``at_least`` bytes as CREATE_DEDUP, whose payload is the
+    hashes of the content's blocks (32 bytes each): the log, the references (repo, path, ts_ns,
+    seq, pos, hash) and the blocks, each once (hash, size, data)."""
+    large = (F.col("event_type") == CREATE) & (F.length("payload") >= at_least)
+    key = ["repo", "path", "ts_ns", "seq"]
+    found = split(records.where(large).select(*key, "payload"), size, "payload", digest=lambda c: F.unhex(F.sha2(c, 256)))
+    n = F.ceil(F.length("payload") / F.lit(size)).cast("int")
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.sha2(F.substring(F.col("payload"), i * size + 1, F.lit(size)), 256))
+    log = records.withColumns({"payload": F.when(large, F.unhex(F.array_join(hashes, ""))).otherwise(F.col("payload")), "event_type": F.when(large, CREATE_DEDUP).otherwise(F.col("event_type"))})
+    pool = found.groupBy("hash").agg(F.first("size").alias("size"), F.first("data").alias("data"))
+    return log, found.select(*key, "pos", "hash"), pool
+
+
+def references(log: DataFrame) -> DataFrame:
+    """(repo, path, ts_ns, seq, pos, hash): the blocks that the log's CREATE_DEDUP records name."""
+    some = log.where((F.col("event_type") == CREATE_DEDUP) & (F.length("payload") >= HASH_BYTES))
+    pos = F.sequence(F.lit(0), (F.length("payload") / HASH_BYTES).cast("int") - 1)
+    each = some.select("repo", "path", "ts_ns", "seq", "payload", F.explode(pos).alias("pos"))
+    return each.select("repo", "path", "ts_ns", "seq", "pos", F.substring(F.col("payload"), F.col("pos") * HASH_BYTES + 1, F.lit(HASH_BYTES)).alias("hash"))
+
+
+def resolved(log: DataFrame, pool: DataFrame) -> DataFrame:
+    """J2 in a log: CREATE_DEDUP records with their content as payload, put together from
+    ``pool``; null where a block is missing, has another size or another hash."""
+    key = ["repo", "path", "ts_ns", "seq"]
+    met = verified(references(log), pool, digest=lambda c: F.unhex(F.sha2(c, 256))).join(pool.select("hash", "data"), "hash", "left")
+    # as digits, since parts of bytes can't be joined at once
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "data"))), lambda x: F.hex(x["data"]))
+    whole = met.groupBy(*key).agg(F.unhex(F.array_join(parts, "")).alias("_content"), F.max(F.col("fault").isNotNull()).alias("_broken"))
+    is_dedup = F.col("event_type") == CREATE_DEDUP
+    content = F.when(~F.col("_broken"), F.col("_content"))
+    return log.join(whole, key, "left").withColumn("payload", F.when(is_dedup, content).otherwise(F.col("payload"))).drop("_content", "_broken")

@@ -32,6 +32,20 @@ def fanned_out(events: DataFrame, roots: DataFrame, path: str = "path", root: st
     return above.join(roots, root)
 
 
+def routed(events: DataFrame, roots: DataFrame) -> DataFrame:
+    """F9, ST10: an event for each root above its path; a root with ``file_filter`` takes
+    that path below it only. Adds ``rel``. For a batch or a stream of events."""
+    below = F.expr("CASE WHEN path = root THEN '' ELSE substr(path, length(root) + 2) END")
+    met = fanned_out(events, roots).withColumn("rel", below)
+    return met.where(F.col("file_filter").isNull() | (F.col("file_filter") == F.col("rel")))
+
+
+def with_watches(events: DataFrame, watches: DataFrame) -> DataFrame:
+    """``events`` (wd, name, and more) with the path that the watch ``wd`` (dir) gives
+    them; of no watch, none. Spark broadcasts the watches if they are small."""
+    return events.join(watches, "wd").withColumn("path", F.concat_ws("/", "dir", "name"))
+
+
 def nearest_root(paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root") -> DataFrame:
     """The deepest root of each path."""
     met = fanned_out(paths.select(path).distinct(), roots.select(root), path, root)

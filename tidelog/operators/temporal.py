@@ -6,10 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import in_scope
+from ..functions.paths import in_scope, without_excluded
+from ..functions.text import hides_binary
 from ..functions.timeexpr import Target
-from ..model import COMPACT_ABOVE, CREATE, CREATE_DEDUP, DELETE, MODIFY, label
+from ..model import COMPACT_ABOVE, CREATE, CREATE_DEDUP, DELETE, EXTLOG_LABELS, MODIFY, label
 from ..plans.anchor import pruned
+from .joins import annotated
 
 KEY = ("repo", "path")
 
@@ -42,16 +44,19 @@ class VersionLog:
     def log(self) -> DataFrame:
         return self.df.select(*KEY, "ts_ns", "seq", label(F.col("event_type")).alias("event"), "delta_size", "file_size").orderBy("ts_ns", "seq")
 
-    def extlog(self) -> DataFrame:
-        """Revision, change of size, time since the revision before, and the delta's share of the size in basis points."""
+    def extlog(self, annotations: DataFrame | None = None) -> DataFrame:
+        """Revision, change of size, time since the revision before, and the delta's share of
+        the size in basis points; with ``annotations`` (ts_ns, path, seq, summary), the first of
+        each record, those of binary content hidden."""
         w = chain()
         gone = F.col("event_type") == DELETE
         change = F.col("file_size") - F.lag("file_size").over(w)
         share = F.when(F.col("file_size") > 0, F.expr("delta_size * 10000 div file_size")).otherwise(F.lit(0)).cast("bigint")
-        return self.df.select(
-            *KEY, "ts_ns", "seq", label(F.col("event_type")).alias("event"), F.row_number().over(w).cast("bigint").alias("rev"), "delta_size", "file_size",
+        out = self.df.select(
+            *KEY, "ts_ns", "seq", label(F.col("event_type"), only=EXTLOG_LABELS).alias("event"), F.row_number().over(w).cast("bigint").alias("rev"), "delta_size", "file_size",
             F.when(~gone, change).alias("size_change"), (F.col("ts_ns") - F.lag("ts_ns").over(w)).alias("elapsed_ns"), share.alias("ratio_bp"),
         )
+        return out if annotations is None else annotated(out, annotations).withColumn("summary", hides_binary(F.col("summary")))
 
     def footer(self) -> DataFrame:
         return self.df.agg(F.count("*").alias("n_records"), F.count_distinct(*KEY).alias("n_paths"))
@@ -67,15 +72,17 @@ class VersionLog:
         """Paths that exist at a time: their last record."""
         return self.last(until).where(F.col("event_type") != DELETE)
 
-    def as_of_many(self, points: DataFrame) -> DataFrame:
-        """``points`` (name, ts_ns) against every path, in one pass over the log:
-        a path's points are put among its records, and each takes the last before it."""
-        every = self.df.select(*KEY).distinct().crossJoin(F.broadcast(points.select("name", "ts_ns")))
-        w = Window.partitionBy(*KEY).orderBy("ts_ns", "is_point", "seq").rowsBetween(Window.unboundedPreceding, 0)
-        records = self.df.select(*KEY, "ts_ns", F.lit(0).alias("is_point"), "seq", F.lit(None).cast("string").alias("name"), F.struct("event_type", "seq", "file_size", "ts_ns").alias("r"))
-        marks = every.select(*KEY, "ts_ns", F.lit(1).alias("is_point"), F.lit(None).cast("bigint").alias("seq"), "name", F.lit(None).cast(records.schema["r"].dataType).alias("r"))
-        met = records.unionByName(marks).withColumn("r", F.last("r", ignorenulls=True).over(w)).where((F.col("is_point") == 1) & F.col("r").isNotNull())
-        return met.where(F.col("r.event_type") != DELETE).select("name", *KEY, F.col("r.seq").alias("seq"), F.col("r.file_size").alias("file_size"))
+    def as_of_many(self, points: DataFrame, most: int = 10_000) -> DataFrame:
+        """``points`` (name, ts_ns; at most ``most``, as they become part of the plan) against
+        every path, in one pass over the log: a record meets the points that lie between it
+        and the next one of its path."""
+        found = points.select("name", F.col("ts_ns").cast("bigint").alias("at")).limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than {most} points in time")
+        every = F.array(*(F.struct(F.lit(r["name"]).alias("name"), F.lit(r["at"]).cast("bigint").alias("at")) for r in sorted(found, key=lambda r: r["at"])))
+        rows = self.df.select(*KEY, "ts_ns", "seq", "event_type", "file_size", F.lead("ts_ns").over(chain()).alias("_to")).where(F.col("event_type") != DELETE)
+        met = F.filter(every, lambda p: (p["at"] >= F.col("ts_ns")) & (F.col("_to").isNull() | (p["at"] < F.col("_to"))))
+        return rows.select(*KEY, "seq", "file_size", F.explode(met).alias("p")).select("p.name", *KEY, "seq", "file_size") if found else rows.limit(0).select(F.lit("").alias("name"), *KEY, "seq", "file_size")
 
     # W4-W7, T3-T6
     def nth(self, n: int) -> DataFrame:
@@ -103,9 +110,9 @@ class VersionLog:
         """The first version of what the baseline holds."""
         return self.nth(1).join(baseline.select(*KEY), list(KEY), "left_semi")
 
-    def to_prune(self, baseline: DataFrame) -> DataFrame:
-        """What exists now and wasn't there at first."""
-        return self.as_of().join(baseline.select(*KEY), list(KEY), "left_anti").select(*KEY)
+    def to_prune(self, baseline: DataFrame, patterns: list[str] | None = None) -> DataFrame:
+        """What exists now, wasn't there at first and isn't excluded."""
+        return without_excluded(self.as_of().join(baseline.select(*KEY), list(KEY), "left_anti").select(*KEY), patterns or [])
 
     def last_two(self) -> DataFrame:
         ranked = self.df.withColumn("_r", F.row_number().over(chain(descending=True))).where(F.col("_r") <= 2)
@@ -117,6 +124,11 @@ class VersionLog:
         """Each version with the time in which it holds."""
         return self.df.select(*KEY, "seq", "event_type", "file_size", F.col("ts_ns").alias("valid_from"), F.lead("ts_ns").over(chain()).alias("valid_to"))
 
+    def bridged(self) -> DataFrame:
+        """Versions with content, each with the one before it, whatever deletions lie between."""
+        w = chain()
+        return self.df.where(F.col("event_type") != DELETE).withColumns({"previous_seq": F.lag("seq").over(w), "previous_size": F.lag("file_size").over(w)})
+
     def manifest(self) -> DataFrame:
         """Full versions numbered within their path, and deletions without a number."""
         alive = F.col("event_type") != DELETE
@@ -154,30 +166,34 @@ class VersionLog:
         return VersionLog(VersionLog(rows).replayed()).df.join(VersionLog(rows).last().select(*KEY, "seq"), [*KEY, "seq"]).select(*KEY, "state")
 
     # T11
-    def compaction(self, above: int = COMPACT_ABOVE) -> DataFrame:
-        """Runs that collapse: in paths with more than ``above`` records, those of more
-        than ``above`` records without their deletion that begin with a CREATE and hold
-        no deduplicated content. (repo, path, island, n, first_seq, last_seq)"""
+    def runs(self, above: int = COMPACT_ABOVE) -> DataFrame:
+        """The log with ``island`` and, for records of a run that collapses, ``n``,
+        ``first_seq`` and ``last_seq`` (else null). Those are, in paths with more than
+        ``above`` records, the runs of more than ``above`` records without their deletion
+        that begin with a CREATE and hold no deduplicated content."""
         w = Window.partitionBy(*KEY)
-        rows = self.islands().withColumn("_n", F.count("*").over(w)).where((F.col("_n") > above) & (F.col("event_type") != DELETE))
-        at = F.struct("ts_ns", "seq")
-        runs = rows.groupBy(*KEY, "island").agg(
-            F.count("*").alias("n"), F.min_by("event_type", at).alias("_kind"), F.sum((F.col("event_type") == CREATE_DEDUP).cast("int")).alias("_dedup"), F.min(at)["seq"].alias("first_seq"), F.max(at)["seq"].alias("last_seq")
-        )
-        return runs.where((F.col("n") > above) & (F.col("_kind") == CREATE) & (F.col("_dedup") == 0)).drop("_kind", "_dedup")
+        one = Window.partitionBy(*KEY, "island", "_alive")
+        inside = one.orderBy("ts_ns", "seq")
+        whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = self.islands().withColumns({"_n": F.count("*").over(w), "_alive": F.col("event_type") != DELETE})
+        told = rows.withColumns({"n": F.count("*").over(one), "_dedup": F.max((F.col("event_type") == CREATE_DEDUP).cast("int")).over(one), "_kind": F.first("event_type").over(whole), "first_seq": F.first("seq").over(whole), "last_seq": F.last("seq").over(whole)})
+        yes = F.col("_alive") & (F.col("_n") > above) & (F.col("n") > above) & (F.col("_kind") == CREATE) & (F.col("_dedup") == 0)
+        return told.withColumns({c: F.when(yes, F.col(c)) for c in ("n", "first_seq", "last_seq")}).drop("_n", "_alive", "_dedup", "_kind")
+
+    def compaction(self, above: int = COMPACT_ABOVE) -> DataFrame:
+        """The runs that collapse: (repo, path, island, n, first_seq, last_seq)."""
+        return self.runs(above).where(F.col("seq") == F.col("first_seq")).select(*KEY, "island", "n", "first_seq", "last_seq")
 
     def compacted(self, above: int = COMPACT_ABOVE) -> DataFrame:
         """The log with each collapsing run as its first record and one that stands for
         the rest, at the last one's time: a MODIFY with the run's deltas, or a CREATE of
-        the content if that is smaller."""
-        runs = self.compaction(above)
-        rows = self.islands().join(runs, [*KEY, "island"], "left")
-        inside = F.col("n").isNotNull() & (F.col("event_type") != DELETE)
-        kept = rows.where(~inside | (F.col("seq") == F.col("first_seq"))).select(*KEY, "ts_ns", "seq", "event_type", "delta_size", "file_size")
-        rest = rows.where(inside & (F.col("seq") != F.col("first_seq"))).groupBy(*KEY, "island").agg(F.max_by(F.struct("ts_ns", "seq", "file_size"), F.struct("ts_ns", "seq")).alias("r"), F.sum("delta_size").alias("delta"))
-        smaller = F.col("delta") < F.col("r.file_size")
-        one = rest.select(*KEY, F.col("r.ts_ns").alias("ts_ns"), F.col("r.seq").alias("seq"), F.when(smaller, MODIFY).otherwise(CREATE).alias("event_type"), F.when(smaller, F.col("delta")).otherwise(F.col("r.file_size")).alias("delta_size"), F.col("r.file_size").alias("file_size"))
-        return kept.unionByName(one)
+        the content if that is smaller. Sizes only: ``replay.compacted`` has payloads."""
+        one = Window.partitionBy(*KEY, "island", "n")
+        rows = self.runs(above).withColumn("_sum", F.sum("delta_size").over(one) - F.first("delta_size").over(one.orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        last, smaller = (F.col("seq") == F.col("last_seq")) & F.col("n").isNotNull(), F.col("_sum") < F.col("file_size")
+        kept = rows.where(F.col("n").isNull() | (F.col("seq") == F.col("first_seq")) | last)
+        kind = F.when(last, F.when(smaller, MODIFY).otherwise(CREATE)).otherwise(F.col("event_type"))
+        return kept.select(*KEY, "ts_ns", "seq", kind.alias("event_type"), F.when(last, F.least("_sum", "file_size")).otherwise(F.col("delta_size")).alias("delta_size"), "file_size")
 
     # T12, W11
     def verified(self, broken: Column, base_needed: bool = True) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import codec, format, paths, text, timeexpr
-from .model import MODIFY, label
-from .operators import blocks, joins, temporal
+from .model import EXTLOG_LABELS, LOG_LABELS, MODIFY, SINCE_LABELS, label
+from .operators import blocks, joins, replay, temporal
 from .operators.temporal import VersionLog
 from .streaming import capture
 from .views import nanoseconds, table, vchain, vfiles, vlog, vorders, vpaths
@@ -96,7 +96,7 @@ def undo_initial(spark, sf):
 
 @query
 def prune_list(spark, sf):
-    return _log(spark, sf).to_prune(_baseline(spark, sf))
+    return _log(spark, sf).to_prune(_baseline(spark, sf), ["*7", "u12"])
 
 
 @query
@@ -215,7 +215,7 @@ def verify_report(spark, sf):
 @query
 def exclude_builtin(spark, sf):
     p = vpaths(spark, sf)
-    return p.withColumn("path", F.concat("path", F.element_at(F.array(*map(F.lit, ("/x.o", "/.git/a", "/.o", "/a.bak", "/b~", "/c", "/#d#", "/node_modules"))), (F.col("page_id") % 8 + 1).cast("int")))).where(~paths.excluded_builtin(F.col("path"))).select("page_id", "path")
+    return p.withColumn("path", F.concat("path", F.element_at(F.array(*map(F.lit, ("/x.o", "/.git/a", "/.o", "/a.bak", "/b~", "/c", "/#d#", "/node_modules", "/a.tt_tmp_1", "/d/.tt_tmp_x/e"))), (F.col("page_id") % 10 + 1).cast("int")))).where(~paths.excluded_builtin(F.col("path"))).select("page_id", "path")
 
 
 @query
@@ -237,7 +237,10 @@ def repo_nearest(spark, sf):
 
 @query
 def repo_overlap(spark, sf):
-    return joins.overlapping(vpaths(spark, sf).select(F.col("path").alias("root")).distinct())
+    path = F.col("path")
+    # the addresses, and some of the directories above them
+    roots = vpaths(spark, sf).select(F.explode(F.array(path, F.when(F.col("page_id") % 3 == 0, paths.dirname(path)), F.when(F.col("page_id") % 7 == 0, F.substring_index(path, "/", 1)))).alias("root"))
+    return joins.overlapping(roots.where(F.col("root").isNotNull() & (F.col("root") != "")).distinct())
 
 
 @query
@@ -256,7 +259,18 @@ def annotation_join(spark, sf):
 
 @query
 def event_kind_map(spark, sf):
-    return vlog(spark, sf).groupBy(label(F.col("event_type")).alias("event")).agg(F.count("*").alias("n"))
+    """ST4 over raw kinds: events as what a watcher reports."""
+    kinds = {"view": "modify", "click": "moved_to", "purchase": "moved_from", "signup": "create", "error": "delete"}
+    kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), F.col("event_type")), F.lit("attrib"))
+    e = table(spark, sf, "events").select(kind.alias("kind")).withColumn("event", label(capture.event_kind(F.col("kind"))))
+    return e.groupBy("kind", "event").agg(F.count("*").alias("n"))
+
+
+@query
+def event_labels(spark, sf):
+    """the three ways in which the commands name an event."""
+    codes = vlog(spark, sf).select("seq", (F.col("seq") % 7).cast("int").alias("event_type"))
+    return codes.select("seq", label(F.col("event_type"), only=LOG_LABELS).alias("log"), label(F.col("event_type"), only=SINCE_LABELS).alias("log_since"), label(F.col("event_type"), only=EXTLOG_LABELS).alias("extlog"))
 
 
 @query
@@ -280,12 +294,14 @@ def changed_range(spark, sf):
 
 @query
 def summary(spark, sf):
-    return _pairs(spark, sf).select("path", "rev", text.summary(F.col("old"), F.col("new"), F.lit("")).alias("summary"))
+    p = text.described(_pairs(spark, sf))
+    return p.select("path", "rev", text.summary(F.col("old"), F.col("new"), F.col("tags"), F.col("range")).alias("summary"), text.create_summary(F.col("new"), F.col("tags")).alias("created"))
 
 
 @query
 def autotags(spark, sf):
-    return vchain(spark, sf).select("path", "rev", text.top_tags(text.tokens(F.col("content"))).alias("tags"))
+    """The tags of what each revision has changed."""
+    return text.described(_pairs(spark, sf), new="content").select("path", "rev", "tags")
 
 
 @query
@@ -333,8 +349,9 @@ def manifest(spark, sf):
 
 @query
 def line_diff(spark, sf):
-    c = vchain(spark, sf)
-    return joins.line_diff(c.where(F.col("rev") == 0).select("path", "content"), c.where(F.col("rev") == 1).select("path", "content"), ["path"])
+    """Every revision against the one before."""
+    p = _pairs(spark, sf)
+    return joins.line_diff(p.select("path", "rev", F.col("old").alias("content")), p.select("path", "rev", "content"), ["path", "rev"])
 
 
 @query
@@ -371,7 +388,8 @@ def rescan_diff(spark, sf):
 
 @query
 def history_flag(spark, sf):
-    walk = spark.range(0, 400).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("path"))
+    every = table(spark, sf, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("path"))
+    walk = vlog(spark, sf).select("path").union(every).distinct()
     return joins.with_history(walk, vlog(spark, sf))
 
 
@@ -413,9 +431,135 @@ def capture_fsm(spark, sf):
     return capture.captured_batch(_snapshots(spark, sf)).select("path", "ts_ns", "event_type", F.length("payload").alias("delta_size"), "file_size", "reason")
 
 
+def _bytes(spark, sf):
+    """conversations as captured: a log with payloads."""
+    return capture.captured_batch(_snapshots(spark, sf)).select(F.lit("c").alias("repo"), "path", "ts_ns", F.col("ts_ns").alias("seq"), "event_type", F.length("payload").cast("bigint").alias("delta_size"), "file_size", "payload")
+
+
 @query
 def replay_bytes(spark, sf):
-    from .operators.replay import versions
+    return replay.versions(_bytes(spark, sf)).select("path", "ts_ns", F.sha2("content", 256).alias("sha256"), "fault")
+
+
+@query
+def content_as_of(spark, sf):
+    """T1, T2 by content."""
+    return replay.content_as_of(_bytes(spark, sf), 3500).select("path", F.sha2("content", 256).alias("sha256"), "fault")
+
+
+@query
+def restore_counts(spark, sf):
+    """A8."""
+    # some paths have lost their first record, some begin later
+    lost = F.when(F.col("path").endswith("3"), F.col("ts_ns") > 1000).when(F.col("path").endswith("7"), F.col("ts_ns") > 3000).otherwise(F.lit(True))
+    return replay.restored(_bytes(spark, sf).where(lost), 2500)
+
+
+@query
+def version_against_current(spark, sf):
+    """What is there now against revision 1, line by line."""
+    now = _snapshots(spark, sf).groupBy("path").agg(F.max_by("content", "ts_ns").alias("content"))
+    p = replay.against_current(_bytes(spark, sf), now, 2500)
+    return joins.line_diff(p.select("path", F.decode("old", "UTF-8").alias("content")), p.select("path", F.decode("new", "UTF-8").alias("content")), ["path"])
+
+
+@query
+def compacted_bytes(spark, sf):
+    """T11 with payloads: the compacted log, replayed."""
+    log = replay.compacted(_bytes(spark, sf), ABOVE)
+    return replay.versions(log).select("path", "ts_ns", F.sha2("content", 256).alias("sha256"), "fault")
+
+
+@query
+def dedup_replay(spark, sf):
+    """SK3, J2: contents from 256 bytes on as references to blocks, replayed from the pool."""
+    log, refs, pool = blocks.deduplicated(_bytes(spark, sf), 256, 64)
+    return replay.versions(log, pool).select("path", "ts_ns", "event_type", F.sha2("content", 256).alias("sha256"), "fault")
+
+
+@query
+def block_references(spark, sf):
+    """The references of such a log, each with what is wrong with its block: none, but for those of a pool that lacks some."""
+    log, _, pool = blocks.deduplicated(_bytes(spark, sf), 256, 64)
+    found = blocks.verified(blocks.references(log), pool.where(~F.lower(F.hex("hash")).startswith("a")), digest=lambda c: F.unhex(F.sha2(c, 256)))
+    return found.select("path", "ts_ns", "pos", F.lower(F.hex("hash")).alias("hash"), "fault")
+
+
+@query
+def resolve_targets(spark, sf):
+    """Versions by expression, over the log."""
+    v, out = _log(spark, sf), []
+    tags = {"mid": T}
+    for expr in ("now", "first", "prev", "3", "-2", "tag:mid", f"@{T // 1_000_000_000}", f"@{T}", "2024-01-15 00:00:00", "10 days ago"):
+        target = timeexpr.resolve(expr, T + 10 * DAY, tags)
+        out.append(v.resolve(target).select(F.lit(expr).alias("expr"), "repo", "path", "seq"))
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
 
-    log = capture.captured_batch(_snapshots(spark, sf)).withColumn("repo", F.lit("c")).withColumn("seq", F.col("ts_ns"))
-    return versions(log).select("path", "ts_ns", F.sha2("content", 256).alias("sha256"), "fault")
+@query
+def suppressed(spark, sf):
+    """without records that repeat the kind and the size of the one before."""
+    return VersionLog(vlog(spark, sf).withColumn("file_size", F.col("file_size") % 3)).changes().select("repo", "path", "seq")
+
+
+@query
+def changed_lines(spark, sf):
+    """X19."""
+    return _pairs(spark, sf).select("path", "rev", text.changed_lines(F.col("old"), F.col("content")).alias("lines"))
+
+
+@query
+def ratio_percent(spark, sf):
+    """X13."""
+    return vlog(spark, sf).select("seq", F.round(format.ratio(F.col("delta_size"), F.col("file_size")), 6).alias("percent"))
+
+
+@query
+def integers(spark, sf):
+    """X6, X29."""
+    e = table(spark, sf, "events").select("event_id", F.concat(F.element_at(F.array(*map(F.lit, ("", "-", "+", "a", " ", "1*", "0x", "[b]"))), (F.col("event_id") % 8 + 1).cast("int")), F.col("event_id").cast("string")).alias("arg"))
+    return e.select("event_id", timeexpr.is_integer(F.col("arg")).alias("is_integer"), paths.is_unexpanded_glob(F.col("arg")).alias("is_glob"))
+
+
+@query
+def little_endian(spark, sf):
+    """Bytes as digits and back."""
+    raw = F.unhex(F.lower(F.hex(codec.little_endian(F.col("ts_ns"), 8))))
+    return vlog(spark, sf).select("seq", codec.from_little_endian(raw).cast("bigint").alias("ts_ns"))
+
+
+@query
+def bridged_pairs(spark, sf):
+    """Each version with the one before it, over deletions."""
+    return _log(spark, sf).bridged().select("repo", "path", "seq", "previous_seq", "previous_size")
+
+
+@query
+def single_file_repos(spark, sf):
+    """F9, ST10: events to the roots above them; a root with a file takes that file only."""
+    roots = spark.createDataFrame([("src0", None), ("src0/en", "100"), ("src1", "en/1"), ("src2", "en/22"), ("src3", "en")], "root string, file_filter string")
+    return joins.routed(vfiles(spark, sf).select("path"), roots).select("root", "path", "rel")
+
+
+@query
+def watched(spark, sf):
+    """Events to what is watched, by descriptor."""
+    watches = table(spark, sf, "customer").select(F.col("c_custkey").alias("wd"), F.concat(F.lit("d"), F.col("c_nationkey").cast("string")).alias("dir"))
+    events = table(spark, sf, "events").select(F.col("user_id").alias("wd"), "event_id", F.concat(F.lit("f"), (F.col("event_id") % 10).cast("string")).alias("name"))
+    return joins.with_watches(events, watches).select("event_id", "path")
+
+
+@query
+def annotated_extlog(spark, sf):
+    """Extlog with its annotations, those of binary content hidden."""
+    log = vlog(spark, sf)
+    notes = log.where(F.col("seq") % 3 == 0).select("ts_ns", "path", "seq", F.concat(F.lit("note "), F.when(F.col("seq") % 2 == 0, "#ELF ").otherwise(""), F.col("seq").cast("string")).alias("summary"))
+    return _log(spark, sf).extlog(notes).select("repo", "path", "seq", "rev", "summary")
+
+
+@query
+def ms_log(spark, sf):
+    """SC13: the log as text, to the millisecond."""
+    return vlog(spark, sf).select("seq", format.log_line(F.col("ts_ns"), F.col("event_type"), F.col("path"), F.col("file_size")).alias("line"))
