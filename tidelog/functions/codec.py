@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
+import os
 import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -144,3 +146,63 @@ def decrypt(content: Column, key: bytes, aad: Column) -> Column:
 
 def pack_header(ts_ns: int, event_type: int, path_len: int, delta_size: int, file_size: int) -> bytes:
     return struct.pack(HEADER, ts_ns, event_type, path_len, delta_size, file_size)
+
+
+#: A store's crypto.meta is magic, version, iterations, salt and verifier; bounds of the iterations.
+META_MAGIC, META_VERSION, META_BYTES, ITERATIONS = b"TTCRYPT1", 1, 61, (10_000, 10_000_000)
+_META = "<8sBI16s32s"
+
+
+def _verifier(key: bytes) -> bytes:
+    return hashlib.blake2b(b"verify", digest_size=32, key=key).digest()
+
+
+def new_meta(password: str, iterations: int = 100_000) -> tuple[bytes, bytes]:
+    """C4: (meta, key) of a new store."""
+    salt = os.urandom(16)
+    key = key_from(password, salt, iterations)
+    return struct.pack(_META, META_MAGIC, META_VERSION, iterations, salt, _verifier(key)), key
+
+
+def meta_fault(meta: bytes) -> str | None:
+    """What is wrong with a meta, if anything."""
+    if len(meta) != META_BYTES:
+        return "size"
+    magic, version, iterations, _, _ = struct.unpack(_META, meta)
+    if magic != META_MAGIC or version != META_VERSION:
+        return "magic"
+    return None if ITERATIONS[0] <= iterations <= ITERATIONS[1] else "iterations"
+
+
+def unlock(meta: bytes, password: str) -> bytes:
+    """C4: the key; ValueError for a damaged meta or a wrong password."""
+    if fault := meta_fault(meta):
+        raise ValueError(f"damaged meta: {fault}")
+    _, _, iterations, salt, verifier = struct.unpack(_META, meta)
+    key = key_from(password, salt, iterations)
+    if not hmac.compare_digest(verifier, _verifier(key)):
+        raise ValueError("wrong password")
+    return key
+
+
+def seal_bytes(spark: SparkSession, content: bytes, key: bytes, aad: bytes = b"") -> bytes:
+    """Small contents, as a repo's own key or a side file, on the driver."""
+    return bytes(spark.range(1).select(encrypt(F.lit(content), key, F.lit(aad))).first()[0])
+
+
+def open_bytes(spark: SparkSession, content: bytes, key: bytes, aad: bytes = b"") -> bytes:
+    return bytes(spark.range(1).select(decrypt(F.lit(content), key, F.lit(aad))).first()[0])
+
+
+def block_key(hash_: Column, repo_key: bytes) -> Column:
+    """Each block's own key, from the repo's and its hash."""
+    return blake2b(F.concat(F.lit(repo_key), hash_))
+
+
+def sealed_block(data: Column, key: Column) -> Column:
+    """Equal blocks give equal ciphertexts: the nonce is zero, as a key has one content only."""
+    return F.call_function("aes_encrypt", data, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(bytes(12)))
+
+
+def opened_block(data: Column, key: Column) -> Column:
+    return F.call_function("aes_decrypt", data, key, F.lit("GCM"))

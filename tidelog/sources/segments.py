@@ -15,10 +15,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..functions.codec import decrypt, encrypt, header
 from ..model import HEADER, HEADER_BYTES, RECORD, SEGMENT_BYTES, SEGMENT_MAGIC, SEGMENT_VERSION
 
 _PREAMBLE = SEGMENT_MAGIC + struct.pack("<I", SEGMENT_VERSION)
@@ -42,9 +43,12 @@ def is_segment(raw: bytes) -> bool:
     return len(raw) >= len(_PREAMBLE) and raw.startswith(SEGMENT_MAGIC)
 
 
-def read_segments(spark: SparkSession, directory: str, repo: str = "") -> DataFrame:
-    """SC1-SC3 over any store: Spark lists and reads the files, each is parsed where it
-    was read. ``seq`` is the order in the store: segment number, then place."""
+def read_segments(spark: SparkSession, directory: str, repo: str = "", key: bytes | None = None) -> DataFrame:
+    """SC1-SC4 over any store: Spark lists and reads the files, each is parsed where it
+    was read. ``seq`` is the order in the store: segment number, then place. With ``key``,
+    payloads are opened. Files that are no segments are skipped: see ``segment_report``."""
+    if key is not None:
+        return opened(read_segments(spark, directory, repo), key)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -57,10 +61,54 @@ def read_segments(spark: SparkSession, directory: str, repo: str = "") -> DataFr
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ttd").load(directory).select("path", "content")
     out = files.mapInPandas(parse, "repo string, path string, ts_ns bigint, _at bigint, event_type tinyint, path_len int, delta_size bigint, file_size bigint, payload binary, _segment bigint")
-    # a segment has fewer than 2^26 records, as each takes 26 bytes of 64 MiB at least; segments are numbered densely
-    number = out.select("_segment").distinct().orderBy("_segment").toPandas()["_segment"].tolist()
-    index = spark.createDataFrame([(int(s), i) for i, s in enumerate(number)], "_segment bigint, _n bigint")
-    return out.join(F.broadcast(index), "_segment").withColumn("seq", F.col("_n") * (1 << 26) + F.col("_at")).select("repo", "path", "ts_ns", "seq", "event_type", "path_len", "delta_size", "file_size", "payload")
+    # a segment has fewer than 2^26 records, as each takes 26 bytes of 64 MiB at least; segments are numbered
+    # densely, by their names alone
+    number = F.substring_index(F.substring_index("path", "/", -1), ".", 1).cast("bigint")
+    index = files.select(number.alias("_segment")).withColumn("_n", F.row_number().over(Window.orderBy("_segment")) - 1)
+    return out.join(index, "_segment").withColumn("seq", F.col("_n") * (1 << 26) + F.col("_at")).select("repo", "path", "ts_ns", "seq", "event_type", "path_len", "delta_size", "file_size", "payload")
+
+
+def segment_report(spark: SparkSession, directory: str) -> DataFrame:
+    """SC2: (file, fault, n_records, torn_bytes) of each file that a read of ``directory`` meets;
+    a fault ("short" or "magic") means that it was skipped, torn bytes were not read."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, raw in zip(batch["path"], batch["content"], strict=True):
+                fault = "short" if len(raw) < len(_PREAMBLE) else None if is_segment(raw) else "magic"
+                n, used = 0, len(_PREAMBLE)
+                for r in records(raw) if fault is None else ():
+                    n, used = n + 1, used + HEADER_BYTES + r[3] + r[4]
+                out.append((os.path.basename(path), fault, n, len(raw) - used if fault is None else 0))
+            yield pd.DataFrame(out, columns=["file", "fault", "n_records", "torn_bytes"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ttd").load(directory).select("path", "content")
+    return files.mapInPandas(parse, "file string, fault string, n_records bigint, torn_bytes bigint")
+
+
+#: Bytes that sealing adds to a payload: nonce and tag.
+SEAL_BYTES = 28
+
+
+def _bound(delta_size: Column) -> Column:
+    """What a payload is sealed along with: its record's header, with the size in the clear, and path."""
+    path = F.col("path").cast("binary")
+    return F.concat(header(F.col("ts_ns"), F.col("event_type"), F.length(path), delta_size, F.col("file_size")), path)
+
+
+def sealed(log: DataFrame, key: bytes) -> DataFrame:
+    """SC4: the log with encrypted payloads; empty ones stay empty."""
+    some = F.length("payload") > 0
+    made = F.when(some, encrypt(F.col("payload"), key, _bound(F.length("payload")))).otherwise(F.col("payload"))
+    return log.withColumn("payload", made).withColumn("delta_size", F.length("payload").cast("bigint"))
+
+
+def opened(log: DataFrame, key: bytes) -> DataFrame:
+    """SC4: the log as it was, sizes too. A payload, header or path that was changed fails the job."""
+    some = F.length("payload") > 0
+    plain = F.when(some, decrypt(F.col("payload"), key, _bound(F.length("payload") - SEAL_BYTES))).otherwise(F.col("payload"))
+    return log.withColumn("payload", plain).withColumn("delta_size", F.length("payload").cast("bigint"))
 
 
 class _Segment(InputPartition):

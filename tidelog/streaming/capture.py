@@ -15,9 +15,13 @@ from ..model import CREATE, DEBOUNCE_MS, DELETE, MODIFY
 RECORDS = "path string, ts_ns bigint, event_type int, payload binary, file_size bigint, reason string"
 
 
+#: Kinds of events after which a path is gone, and those that end a session at once.
+GONE, CLOSES = ("delete", "moved_from"), ("close", "delete", "moved_from")
+
+
 def event_kind(kind: Column) -> Column:
     """ST4: a rename is a deletion and a modification."""
-    return F.when(kind.isin("delete", "moved_from"), DELETE).otherwise(MODIFY)
+    return F.when(kind.isin(*GONE), DELETE).otherwise(MODIFY)
 
 
 def sessions(events: DataFrame, gap: str = f"{DEBOUNCE_MS} milliseconds", ts: str = "ts", key: str = "path") -> DataFrame:
@@ -36,6 +40,73 @@ def islands(events: DataFrame, gap_us: int, closes: Column | None = None, ts_us:
     return rows.groupBy(key, F.col("_session").cast("bigint").alias("session")).agg(F.count("*").alias("n"), F.min(ts_us).alias("first_us"), F.max(ts_us).alias("last_us"))
 
 
+class Debounce(StatefulProcessor):
+    """ST1-ST3 for a stream of (path, ts, kind) with a watermark: a session of a path ends
+    when its events are further apart than the gap, or at once with a closing one or a deletion.
+    Its kind is that of the last event: a deletion is overridden by what follows in its session."""
+
+    def __init__(self, gap_ms: int = DEBOUNCE_MS):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", "first_ms bigint, last_ms bigint, n bigint, event_type int")
+
+    def _ended(self, key) -> list[tuple]:
+        now = self.state.get()
+        self.state.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        return [(key[0], *now)]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for batch in rows:
+            for r in batch.sort_values("ts", kind="stable").itertuples(index=False):
+                at, kind = int(r.ts.value // 1_000_000), DELETE if r.kind in GONE else MODIFY
+                now = self.state.get() if self.state.exists() else None
+                if now is not None and at - now[1] > self.gap_ms:
+                    out += self._ended(key)
+                    now = None
+                first, last, n = (at, at, 0) if now is None else now[:3]
+                self.state.update((min(first, at), max(last, at), n + 1, kind))
+                if r.kind in CLOSES:
+                    out += self._ended(key)
+        if self.state.exists():
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(self.state.get()[1] + self.gap_ms + 1)
+        yield pd.DataFrame(out, columns=_SESSION)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame(self._ended(key) if self.state.exists() else [], columns=_SESSION)
+
+    def close(self) -> None:
+        pass
+
+
+_SESSION = ["path", "first_ms", "last_ms", "n", "event_type"]
+
+
+def debounced(events: DataFrame, gap_ms: int = DEBOUNCE_MS, lateness: str = "1 second") -> DataFrame:
+    """Sessions (path, first_ms, last_ms, n, event_type) of a stream of (path, ts, kind)."""
+    late = events.withWatermark("ts", lateness)
+    return late.groupBy("path").transformWithStateInPandas(Debounce(gap_ms), "path string, first_ms bigint, last_ms bigint, n bigint, event_type int", "Append", "EventTime")
+
+
+def enriched(events: DataFrame, contents: DataFrame) -> DataFrame:
+    """ST5: what is there when a path has had an event, whatever the event said: (path,
+    ts_ns, content), null if nothing is. ``contents`` (path, content) is read anew in each batch."""
+    return events.select("path", "ts_ns").join(contents.select("path", "content"), "path", "left")
+
+
+def settled(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """of reads with size and mtime before and after, those that held still, and the
+    events that have the others read again."""
+    same = (F.col("size") == F.col("size_after")) & (F.col("mtime") == F.col("mtime_after"))
+    return reads.where(same), reads.where(~same).select("path", "ts_ns", F.lit(MODIFY).alias("event_type"))
+
+
 def step(state: tuple | None, content: bytes | None, ts_ns: int, start_ns: int) -> tuple[tuple | None, list[tuple]]:
     """ST6: (content, anchored, baseline_pending) and what is there now (None: nothing)
     to the state after it and records (ts_ns, event_type, payload, file_size, reason)."""
@@ -62,7 +133,7 @@ def _change(old: bytes, new: bytes, ts_ns: int) -> tuple:
 
 class Capture(StatefulProcessor):
     """``step`` over a stream of (path, ts_ns, content), with the state of each path kept
-    by Spark. Batches of a path are taken in order of time."""
+    by Spark. A path's rows come in pieces of bounded size, each taken in order of time."""
 
     def __init__(self, start_ns: int = 0):
         self.start_ns = start_ns
@@ -73,15 +144,16 @@ class Capture(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = self.state.get() if self.state.exists() else None
         now = None if now is None else (bytes(now[0]), now[1], now[2])
-        out = []
-        for r in pd.concat(list(rows)).sort_values("ts_ns", kind="stable").itertuples(index=False):
-            now, made = step(now, None if r.content is None else bytes(r.content), r.ts_ns, self.start_ns)
-            out += [(key[0], *m) for m in made]
+        for batch in rows:
+            out = []
+            for r in batch.sort_values("ts_ns", kind="stable").itertuples(index=False):
+                now, made = step(now, None if r.content is None else bytes(r.content), r.ts_ns, self.start_ns)
+                out += [(key[0], *m) for m in made]
+            yield pd.DataFrame(out, columns=["path", "ts_ns", "event_type", "payload", "file_size", "reason"])
         if now is None:
             self.state.clear()
         else:
             self.state.update(now)
-        yield pd.DataFrame(out, columns=["path", "ts_ns", "event_type", "payload", "file_size", "reason"])
 
     def handleInitialState(self, key, initial: pd.DataFrame, timerValues) -> None:
         """ST7: a file with history is not anchored; one without waits with its first content."""
