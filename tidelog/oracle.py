@@ -111,6 +111,9 @@ _SNAP = f"{_CHAIN}, snap AS (SELECT path, rev, rev * 1000 + 1000 AS ts_ns, conte
 #: A record for each revision that changes something: a MODIFY, or a CREATE where either side is empty or the delta would be (it never is).
 _RECORDS = f"{_SNAP}, records AS (SELECT * EXCLUDE (k), CASE WHEN k = 1 OR was = '' OR content = '' THEN 1 ELSE 2 END AS kind FROM snap WHERE k = 1 OR content IS DISTINCT FROM was)"
 
+_FSM = "SELECT path, ts_ns, kind AS event_type, CAST(strlen(content) AS BIGINT) AS file_size, CASE WHEN was IS NULL THEN 'new' WHEN was = '' OR content = '' THEN 'rewritten' ELSE 'changed' END AS reason FROM records"
+_WRITTEN = "SELECT path, rev * 1000 + 1000 AS ts_ns, 1 AS event_type, CAST(strlen(path) AS INTEGER) AS path_len, CAST(strlen(content) AS BIGINT) AS delta_size, CAST(strlen(content) AS BIGINT) AS file_size, sha256(content) AS sha256 FROM vchain"
+
 
 ORACLE = {
     "extlog": _extlog(),
@@ -235,4 +238,40 @@ SELECT seq, ['CREATE', 'MODIFY', 'DELETE', '???', 'CREATE_D', '???', '???'][CASE
     "annotated_extlog": _with(_VLOG, "n AS (SELECT ts_ns, path, min(seq) AS seq FROM vlog WHERE seq % 3 = 0 GROUP BY ts_ns, path)")
     + f"SELECT v.repo, v.path, v.seq, row_number() OVER w AS rev, CASE WHEN n.seq % 2 = 1 THEN 'note ' || n.seq END AS summary FROM vlog v LEFT JOIN n ON v.ts_ns = n.ts_ns AND v.path = n.path WINDOW w AS (PARTITION BY v.repo, v.path ORDER BY v.ts_ns, v.seq)",
     "ms_log": _with(_VLOG) + f"SELECT seq, '[' || strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%d %H:%M:%S.%g') || '] ' || rpad({_LABEL}, 8, ' ') || ' ' || path || ' (' || file_size || ' B)' AS line FROM vlog",
+    "delta_round_trip": _with(_CHAIN, "p AS (SELECT path, rev, coalesce(lag(content) OVER (PARTITION BY path ORDER BY rev), '') || chr(10) || content AS new FROM vchain)") + "SELECT path, rev, CAST(strlen(new) AS INTEGER) AS file_size, true AS bounded, true AS same FROM p",
+    "encrypted_round_trip": _with(_CHAIN) + "SELECT path, rev, true AS same FROM vchain",
+    "capture_fsm": _with(_RECORDS) + _FSM,
+    "stream_captured": _with(_RECORDS) + _FSM,
+    "captured_from_state": _with(
+        f"{_CHAIN}, c AS (SELECT path, rev * 1000 + 1000 AS ts_ns, content, lag(content) OVER (PARTITION BY path ORDER BY rev) AS was, path LIKE '%1' AND min(rev) OVER (PARTITION BY path) = 0 AS history, min(rev) OVER (PARTITION BY path) = 0 AS seeded FROM vchain)",
+        "ch AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts_ns) AS k FROM c WHERE ts_ns > 1000 AND (was IS NULL OR content <> was))",
+    )
+    + """SELECT path, ts_ns, CASE WHEN was IS NULL OR (k = 1 AND history) OR was = '' OR content = '' THEN 1 ELSE 2 END AS event_type, CAST(strlen(content) AS BIGINT) AS file_size,
+  CASE WHEN was IS NULL THEN 'new' WHEN k = 1 AND history THEN 'reanchored' WHEN was = '' OR content = '' THEN 'rewritten' ELSE 'changed' END AS reason FROM ch
+UNION ALL SELECT path, 1, 1, CAST(strlen(was) AS BIGINT), 'original' FROM ch WHERE k = 1 AND seeded AND NOT history AND was IS NOT NULL""",
+    "segments_read": _with(_CHAIN) + _WRITTEN,
+    "segments_sealed": _with(_CHAIN) + _WRITTEN,
+    "segments_source": _with(_CHAIN) + "SELECT path, count(*) AS n, count(*) AS n_seq, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM vchain GROUP BY path",
+    "segments_checked": _with(_CHAIN) + "SELECT CAST(NULL AS VARCHAR) AS fault, count(*) AS n_records, 0 AS torn_bytes FROM vchain UNION ALL SELECT 'magic', 0, 0",
+    "walked": _with(_FILES, "q AS (SELECT path, content, string_split(path, '/')[-1] AS base FROM vfiles)")
+    + f"SELECT path, CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS sha256 FROM q WHERE NOT {_EXCLUDED} AND NOT contains('/' || path || '/', '/de/') AND NOT (path LIKE '%7')",
+    "exported_versions": _with(_RECORDS) + "SELECT path, 'v' || lpad(CAST(ts_ns AS VARCHAR), 6, '0') || '_' || ts_ns AS version_file, sha256(content) AS sha256 FROM records WHERE kind = 1 AND content <> ''",
+    "manifest_file": _with(_VLOG, f"n AS (SELECT *, sum(CASE WHEN event_type <> 3 THEN 1 ELSE 0 END) OVER w AS v FROM vlog {_W})")
+    + f"SELECT path, ts_ns, seq, {_LABEL} AS event, file_size AS size, CASE WHEN event_type = 3 THEN '' ELSE 'v' || lpad(CAST(v AS VARCHAR), 6, '0') || '_' || ts_ns END AS version_file FROM n",
+    "tags_table": "SELECT * FROM (VALUES ('v1', 5::BIGINT), ('v2', 6), ('v1', 9)) t(name, ts_ns)",
+    "annotations_table": _with(_VLOG) + "SELECT ts_ns, path, 'n ' || seq AS summary FROM vlog",
+    "patterns_table": "SELECT lower(n_name) AS pattern FROM nation WHERE lower(n_name) NOT LIKE '%a%' UNION SELECT '*.' || lower(n_name) FROM nation",
+    "baseline_table": _with(_VLOG, _BASE) + "SELECT DISTINCT path FROM base",
+    "status_table": _with(_VLOG) + "SELECT repo AS root, count(*) AS deltas, CAST(sum(delta_size) AS BIGINT) AS bytes, count(DISTINCT path) AS files, 0 AS lost FROM vlog GROUP BY repo",
+    "stream_totals": "SELECT CAST(user_id % 4 AS VARCHAR) AS repo, count(*) AS deltas, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS bytes FROM events GROUP BY ALL",
+    "stream_sessions": """WITH e AS (SELECT user_id AS path, epoch_us(ts) AS us FROM events),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY path ORDER BY us) > 21600000000 THEN 1 ELSE 0 END AS cut FROM e),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY path ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM g),
+w AS (SELECT path, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY path, k)
+SELECT path, n, first_us, last_us FROM w WHERE last_us + 21600000000 <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM e)""",
+    "stream_debounced": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS path, epoch_ms(date_trunc('second', ts)) AS ms, event_type IN ('error', 'purchase') AS closes, event_id FROM events),
+g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w > 21600000 OR lag(closes) OVER w THEN 1 ELSE 0 END AS cut FROM e WINDOW w AS (PARTITION BY path ORDER BY ms, event_id)),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY path ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+w AS (SELECT path, count(*) AS n, min(ms) AS first_ms, max(ms) AS last_ms, bool_or(closes) AS closed FROM s GROUP BY path, k)
+SELECT path, CAST(sum(n) AS BIGINT) AS n, min(first_ms) AS first_ms FROM w WHERE closed OR last_ms + 21600001 <= (SELECT max(ms) - 3600000 FROM e) GROUP BY path""",
 }

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import codec, format, paths, text, timeexpr
-from .model import EXTLOG_LABELS, LOG_LABELS, MODIFY, SINCE_LABELS, label
+from .model import CREATE, EXTLOG_LABELS, LOG_LABELS, MODIFY, SINCE_LABELS, label
 from .operators import blocks, joins, replay, temporal
 from .operators.temporal import VersionLog
-from .streaming import capture
+from .session import opened_by_python, scratch
+from .sources import segments, tables
+from .streaming import capture, lifecycle
 from .views import nanoseconds, table, vchain, vfiles, vlog, vorders, vpaths
 
 DAY = 86_400_000_000_000
@@ -399,7 +403,7 @@ def common_dir(spark, sf):
     return dirs.groupBy("source").agg(F.collect_set(F.concat("dir", F.lit("/x"))).alias("files")).select("source", paths.common_directory(F.col("files")).alias("dir"))
 
 
-# Without SQL: digests, deltas, encryption and state machines.
+# Digests, deltas, encryption and state machines.
 
 
 @query
@@ -411,7 +415,7 @@ def blake2b_blocks(spark, sf):
 def delta_round_trip(spark, sf):
     p = _pairs(spark, sf).select("path", "rev", F.col("old").cast("binary").alias("old"), F.col("new").cast("binary").alias("new"))
     p = p.withColumn("delta", codec.delta_encode("old", "new"))
-    return p.select("path", "rev", F.length("delta").alias("delta_size"), F.length("new").alias("file_size"), (codec.delta_decode("old", "delta") == F.col("new")).alias("same"))
+    return p.select("path", "rev", F.length("new").alias("file_size"), (F.length("delta") <= F.length("new") + 16).alias("bounded"), (codec.delta_decode("old", "delta") == F.col("new")).alias("same"))
 
 
 @query
@@ -428,7 +432,7 @@ def _snapshots(spark, sf):
 
 @query
 def capture_fsm(spark, sf):
-    return capture.captured_batch(_snapshots(spark, sf)).select("path", "ts_ns", "event_type", F.length("payload").alias("delta_size"), "file_size", "reason")
+    return capture.captured_batch(_snapshots(spark, sf)).select("path", "ts_ns", "event_type", "file_size", "reason")
 
 
 def _bytes(spark, sf):
@@ -563,3 +567,177 @@ def annotated_extlog(spark, sf):
 def ms_log(spark, sf):
     """SC13: the log as text, to the millisecond."""
     return vlog(spark, sf).select("seq", format.log_line(F.col("ts_ns"), F.col("event_type"), F.col("path"), F.col("file_size")).alias("line"))
+
+
+@query
+def captured_from_state(spark, sf):
+    """ST7, SK5: capture that begins with what is known of a path: revision 0 is its content, for some with a history."""
+    c = _snapshots(spark, sf)
+    initial = c.where("ts_ns = 1000").select("path", "content", F.col("path").endswith("1").alias("has_history"))
+    return capture.captured_batch(c.where("ts_ns > 1000"), 1, initial).select("path", "ts_ns", "event_type", "file_size", "reason")
+
+
+# What is written and read again, in a folder that all executors share.
+
+
+def _written(spark, sf, key: bytes | None = None):
+    spark.dataSource.register(segments.SegmentSource)
+    at = opened_by_python(scratch(spark, "segments"))
+    rows = _snapshots(spark, sf).select(F.lit("c").alias("repo"), "path", "ts_ns", F.lit(CREATE).alias("event_type"), F.length("content").cast("bigint").alias("file_size"), F.col("content").alias("payload"))
+    rows = segments.sealed(rows, key) if key else rows
+    rows.select("path", "ts_ns", "event_type", "file_size", "payload").write.format("segments").option("path", at).option("most", 100_000).mode("append").save()
+    return at
+
+
+def _records(found):
+    return found.select("path", "ts_ns", F.col("event_type").cast("int").alias("event_type"), "path_len", F.col("delta_size").cast("bigint").alias("delta_size"), "file_size", F.sha2("payload", 256).alias("sha256"))
+
+
+@query
+def segments_read(spark, sf):
+    """SC1, SC3, SC5, SK1, SK2: segments as written, by Spark's own listing."""
+    return _records(segments.read_segments(spark, "file:" + _written(spark, sf)))
+
+
+@query
+def segments_source(spark, sf):
+    """SC1, O7, U1: the same by the data source; what a path's records are, in the store's order."""
+    rows = spark.read.format("segments").option("path", _written(spark, sf)).load()
+    return rows.groupBy("path").agg(F.count("*").alias("n"), F.count_distinct("seq").alias("n_seq"), F.sum("file_size").alias("bytes"))
+
+
+@query
+def segments_sealed(spark, sf):
+    """SC4, C1, C2: encrypted segments, opened as they are read."""
+    key = codec.key_from("test", b"0123456789abcdef", 1000)
+    return _records(segments.read_segments(spark, "file:" + _written(spark, sf, key), "c", key))
+
+
+@query
+def segments_checked(spark, sf):
+    """SC2: what a store holds and what is skipped, with a file in it that is no segment."""
+    at = _written(spark, sf)
+    tables.put_file(f"{at}/{10**18:020d}.ttd", b"no segment at all")
+    found = segments.segment_report(spark, "file:" + at)
+    return found.groupBy("fault").agg(F.sum("n_records").alias("n_records"), F.sum("torn_bytes").alias("torn_bytes"))
+
+
+@query
+def walked(spark, sf):
+    """SC6, SC8, SC12, F10, F11, SK7: a restored tree, walked."""
+    at = opened_by_python(scratch(spark, "tree"))
+    tables.restore(vfiles(spark, sf).select("path", F.col("content").cast("binary").alias("content")), at)
+    found = tables.walk(spark, "file://" + at, ["de", "*7"])
+    return found.select("path", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query
+def exported_versions(spark, sf):
+    """SK8, Q20: each version as a file, by its name."""
+    at = opened_by_python(scratch(spark, "dump"))
+    tables.export_versions(_bytes(spark, sf).where("event_type = 1").select("path", "ts_ns", "seq", F.col("payload").alias("content")), at)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load("file://" + at)
+    return files.select(F.regexp_extract("path", "/files/([^/]+)-[0-9a-f]{8}/", 1).alias("path"), F.regexp_extract("path", "/(v[^/]+)$", 1).alias("version_file"), F.sha2("content", 256).alias("sha256"))
+
+
+@query
+def manifest_file(spark, sf):
+    """SK8: the manifest as a file."""
+    at = scratch(spark, "manifest")
+    tables.write_manifest(_log(spark, sf).manifest(), at)
+    back = spark.read.option("sep", "\t").option("header", "true").csv(at)
+    return back.select("path", F.col("ts_ns").cast("bigint").alias("ts_ns"), F.col("seq").cast("bigint").alias("seq"), "event", F.col("size").cast("bigint").alias("size"), F.coalesce("version_file", F.lit("")).alias("version_file"))
+
+
+@query
+def tags_table(spark, sf):
+    """SC11, SK10, T14: tags appended and read."""
+    at = scratch(spark, "tags")
+    for name, ts in (("v1", 5), ("v2", 6), ("v1", 9)):
+        tables.append_tag(spark, at, name, ts)
+    return tables.read_tags(spark, at).select("name", "ts_ns")
+
+
+@query
+def annotations_table(spark, sf):
+    """SC11, SK9: annotations appended and read."""
+    at = scratch(spark, "annotations")
+    notes = vlog(spark, sf).select("ts_ns", "path", F.concat(F.lit("n\t"), F.col("seq").cast("string")).alias("summary"), "seq")
+    for k in range(2):
+        tables.append_annotations(notes.where(F.col("seq") % 2 == k), at)
+    return tables.read_annotations(spark, at).select("ts_ns", "path", "summary")
+
+
+@query
+def patterns_table(spark, sf):
+    """SC11, SK12, T16, U3, U4: exclusions written, added to and taken from."""
+    at = scratch(spark, "patterns")
+    own = table(spark, sf, "nation").select(F.lower("n_name").alias("pattern"))
+    tables.write_patterns(own, at)
+    tables.write_patterns(tables.add_patterns(tables.read_patterns(spark, at), own.select(F.concat(F.lit("*."), "pattern").alias("pattern"))), at)
+    tables.write_patterns(tables.remove_patterns(tables.read_patterns(spark, at), own.where(F.col("pattern").contains("a"))), at)
+    return tables.read_patterns(spark, at)
+
+
+@query
+def baseline_table(spark, sf):
+    """SC8, SC11, SK12: the paths at first, written once and read."""
+    at = scratch(spark, "baseline")
+    tables.write_baseline(_baseline(spark, sf).select("path").distinct(), at)
+    return tables.read_baseline(spark, at)
+
+
+@query
+def status_table(spark, sf):
+    """SC11, SK11, ST14: a status snapshot of each repo."""
+    at = scratch(spark, "status")
+    now = _log(spark, sf).status().where("repo IS NOT NULL").select(F.col("repo").alias("root"), "deltas", "bytes", "files", F.lit(0).alias("lost"))
+    lifecycle.publish(now, at)
+    return tables.read_status(spark, at)
+
+
+# Streams, run to the end of what is there.
+
+
+def _drained(stream, mode: str = "append"):
+    spark = stream.sparkSession
+    name = f"drained_{uuid.uuid4().hex}"
+    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", scratch(spark, "checkpoint")).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def _event_stream(spark, sf):
+    e = table(spark, sf, "events")
+    return spark.readStream.schema(e.schema).parquet(f"{sf}/events.parquet*")
+
+
+@query
+def stream_totals(spark, sf):
+    """SC9, A7: running totals of a stream."""
+    e = _event_stream(spark, sf).select((F.col("user_id") % 4).cast("string").alias("repo"), F.get_json_object("props", "$.k").cast("bigint").alias("delta_size"))
+    return _drained(capture.running_totals(e), "complete")
+
+
+@query
+def stream_sessions(spark, sf):
+    """ST1: sessions of a stream, those that the watermark has passed."""
+    e = _event_stream(spark, sf).select(F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
+    s = _drained(capture.sessions(e, "6 hours"))
+    return s.select("path", "n", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
+
+
+@query
+def stream_debounced(spark, sf):
+    """ST2, ST3: sessions with early close and the kind of their last event."""
+    kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "purchase", "close").otherwise("modify")
+    e = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("path"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"), kind.alias("kind"))
+    return _drained(capture.debounced(e, 6 * 3_600_000, "1 hour")).groupBy("path").agg(F.sum("n").alias("n"), F.min("first_ms").alias("first_ms"))
+
+
+@query
+def stream_captured(spark, sf):
+    """SK4, ST6: the state machine over a stream."""
+    c = table(spark, sf, "conversations")
+    rows = spark.readStream.schema(c.schema).parquet(f"{sf}/conversations.parquet*").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path"), (F.col("turn") * 1000 + 1000).alias("ts_ns"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return _drained(capture.captured(rows)).select("path", "ts_ns", "event_type", "file_size", "reason")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +20,23 @@ def session(app: str = "tidelog", master: str | None = None, **conf: str) -> Spa
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     return builder.config(map=own | conf).getOrCreate()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the one that all executors share (``spark.checkpoint.dir``), removed
+    when the session's JVM ends. A local master without that setting gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
+        found = spark.sparkContext.getCheckpointDir()
+    path = f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def opened_by_python(path: str) -> str:
+    """Of a folder on a file system that Python opens, too."""
+    return path.removeprefix("file://").removeprefix("file:")

@@ -171,7 +171,7 @@ def captured(snapshots: DataFrame, start_ns: int = 0, initial: DataFrame | None
     )
 
 
-def captured_batch(snapshots: DataFrame, start_ns: int = 0) -> DataFrame:
+def captured_batch(snapshots: DataFrame, start_ns: int = 0, initial: DataFrame | None = None) -> DataFrame:
     """The same over a bounded table, sorted rows passing one by one."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,11 +181,18 @@ def captured_batch(snapshots: DataFrame, start_ns: int = 0) -> DataFrame:
             for r in batch.itertuples(index=False):
                 if r.path != key:
                     key, now = r.path, None
+                if r.seeded:
+                    now = (bytes(r.content), False, r.seeded == 2)
+                    continue
                 now, made = step(now, None if r.content is None else bytes(r.content), r.ts_ns, start_ns)
                 out += [(key, *m) for m in made]
             yield pd.DataFrame(out, columns=["path", "ts_ns", "event_type", "payload", "file_size", "reason"])
 
-    return snapshots.select("path", "ts_ns", "content").repartition("path").sortWithinPartitions("path", "ts_ns").mapInPandas(fold, RECORDS)
+    rows = snapshots.select("path", "ts_ns", "content", F.lit(0).alias("seeded"))
+    if initial is not None:
+        rows = rows.unionByName(initial.select("path", F.lit(None).cast("bigint").alias("ts_ns"), "content", F.when(F.col("has_history"), 1).otherwise(2).alias("seeded")))
+    # a path's initial state has no time, so it comes first
+    return rows.repartition("path").sortWithinPartitions("path", "ts_ns").mapInPandas(fold, RECORDS)
 
 
 def running_totals(records: DataFrame) -> DataFrame:
