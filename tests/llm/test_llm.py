@@ -375,6 +375,22 @@ def test_mixing(spark, odd):
     assert mixing.mixed(odd.limit(0)).count() == 0
 
 
+def test_mixing_equals_brute_force(spark):
+    """Copies of each document: its rank by size and id within its source, times the rate, plus the source's offset."""
+    df = docs(spark)
+    rows = sorted(mixing.mixed(df).collect(), key=lambda r: (r["size"], r["doc_id"]))
+    of = {r["doc_id"]: r["source"] for r in df.collect()}
+    names = {s for s in of.values()}
+    named = spark.createDataFrame([(s,) for s in names], "source string").select("source", (F.pmod(F.xxhash64(F.concat(F.lit("a"), "source"), F.lit(17)), F.lit(1 << 20)) / (1 << 20)).alias("offset"))
+    offset, rank = {r["source"]: r["offset"] for r in named.collect()}, Counter()
+    for r in rows:
+        source = of[r["doc_id"]]
+        rank[source] += 1
+        rate = r["target"] / r["source_size"]
+        copies = int(rank[source] * rate + offset[source]) - int((rank[source] - 1) * rate + offset[source])
+        assert (r["copies"], r["taken"]) == (copies, copies * r["size"])
+
+
 def jaccard_components(texts, size=5, least=0.8):
     """(place, least place of its component) of each text, by all pairs that share a shingle."""
     sets = []
