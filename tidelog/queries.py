@@ -205,9 +205,10 @@ def block_gc(spark, sf):
 
 @query
 def block_reassemble(spark, sf):
-    b = _blocks(spark, sf)
-    pool = b.groupBy("hash").agg(F.first("data").alias("data"))
-    whole = blocks.reassembled(b, pool, ["path"])
+    """J2. The pool is a table of its own, so that the commonest block's references are split where they are many."""
+    b, at = _blocks(spark, sf), scratch(spark, "pool")
+    b.groupBy("hash").agg(F.first("data").alias("data")).write.parquet(at)
+    whole = blocks.reassembled(b.drop("data"), spark.read.parquet(at), ["path"])
     return whole.select("path", F.sha2("content", 256).alias("sha256"), "missing")
 
 
