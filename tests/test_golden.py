@@ -189,3 +189,10 @@ def test_compacted_payloads(spark):
     assert sorted(r["seq"] for r in out.where("path = 'p'").collect()) == [1, 20, 50, 51] and out.where("path = 'bad'").count() == 29
     state = {r["seq"]: r["content"] and bytes(r["content"]) for r in replay.versions(out.where("path = 'p'")).collect()}
     assert state == {1: contents[0], 20: contents[19], 50: None, 51: b"x"}
+
+
+def test_tags_of_many_words(spark):
+    """Only the first 256 distinct words count."""
+    words = [f"w{a}{b}{c}" for a in "aeiou" for b in "bcdfg" for c in "aeiouklmnpst"][:300]
+    said = " ".join(words[:256] + words[256:] * 3 + words[5:6])
+    assert one(spark, lambda c: text.top_tags(text.tokens(c)), said).split()[0] == f"#{words[5]}"

@@ -81,16 +81,18 @@ def top_tags(words: Column, most: int = TAGS) -> Column:
 
 
 def _counted(words: Column, known: Column, most: int) -> Column:
-    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("n"), F.array().cast("array<struct<n:int,word:string>>").alias("out"))
+    # what is known goes through the fold: within the lambda it would be computed for each word
+    start = F.struct(known.alias("known"), F.lit("").alias("word"), F.lit(0).alias("n"), F.array().cast("array<struct<n:int,word:string>>").alias("out"))
+    done = lambda acc: F.when(acc["n"] == 0, acc["out"]).otherwise(F.array_append(acc["out"], F.struct((-acc["n"]).alias("n"), acc["word"].alias("word"))))
 
     def step(acc: Column, w: Column) -> Column:
         same = w == acc["word"]
-        done = F.when(same | (acc["n"] == 0), acc["out"]).otherwise(F.array_append(acc["out"], F.struct((-acc["n"]).alias("n"), acc["word"].alias("word"))))
-        return F.struct(w.alias("word"), F.when(same, acc["n"] + 1).otherwise(F.lit(1)).alias("n"), done.alias("out"))
+        counted = F.struct(acc["known"].alias("known"), w.alias("word"), F.when(same, acc["n"] + 1).otherwise(F.lit(1)).alias("n"), F.when(same, acc["out"]).otherwise(done(acc)).alias("out"))
+        # with fewer than all that may be known, every word is
+        return F.when((F.size(acc["known"]) < DISTINCT) | F.array_contains(acc["known"], w), counted).otherwise(acc)
 
-    end = lambda acc: F.when(acc["n"] == 0, acc["out"]).otherwise(F.array_append(acc["out"], F.struct((-acc["n"]).alias("n"), acc["word"].alias("word"))))
-    counted = F.aggregate(F.array_sort(F.filter(words, lambda w: F.array_contains(known, w))), start, step, end)
-    return F.array_join(F.transform(F.slice(F.array_sort(counted), 1, most), lambda c: F.concat(F.lit("#"), c["word"])), " ")
+    counted = F.aggregate(F.sort_array(words), start, step, done)
+    return F.array_join(F.transform(F.slice(F.sort_array(counted), 1, most), lambda c: F.concat(F.lit("#"), c["word"])), " ")
 
 
 def is_binary(content: Column) -> Column:
