@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, chat, licenses, mixing, quality, simhash, spans, toxicity
+from tidelog.llm.common import addressed
 from tidelog.llm.oracle import ORACLE
 from tidelog.llm.queries import PATTERN, QUERIES, RANKS, new_index
 
@@ -115,6 +116,11 @@ def test_spans_equal_brute_force(spark, odd):
     assert {i: (len(s), len(gone[i])) for i, s in rows.items()} == {i: x[:2] for i, x in got.items()}
     for i, (_, _, text) in got.items():
         assert (text or "").split() == [w for k, s in enumerate(rows[i]) if k not in gone[i] for w in s]
+    # rows that share an id, or have none, are texts of their own
+    said = lambda k: " ".join(f"s{k}w{i}." if i % 5 == 4 else f"s{k}w{i}" for i in range(60))
+    rows = [(None, said(1)), (None, said(2)), (None, said(3)), (5, said(2)), (5, said(4)), (5, said(3)), (None, said(3))]
+    got = [(r["doc_id"], r["text"]) for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()]
+    assert Counter(got) == Counter([(None, said(1)), (None, said(2)), (None, said(3)), (5, ""), (5, said(4)), (5, ""), (None, "")])
     assert spans.deduplicated(odd).count() == len(ODD) and spans.deduplicated(odd.limit(0)).count() == 0
 
 
@@ -138,7 +144,9 @@ def test_spans_meet_wherever_copies_begin(spark):
             else:
                 segments.append([r["doc_id"], i, i + 51])
             last = i
-    gone = {r["id"]: set(spans.covered(r["runs"])) for r in spans.repeated(df).collect()}
+    rows = addressed(df.select(F.col("doc_id").alias("id"), "text"), "id", "text")
+    of = {tuple(r["_row"]): r["id"] for r in rows.select("id", "_row").collect()}
+    gone = {of[tuple(r["_row"])]: set(spans.covered(r["runs"])) for r in spans.repeated(rows).collect()}
     cuts = {r["doc_id"]: spans.cut(r["text"] or "") for r in df.collect()}
     assert len(segments) > 100
     for i, a, b in segments:

@@ -16,9 +16,8 @@ between these.
 
 Defined cases: null and empty texts, and those without a run, stay as they are; a
 text may be removed in whole, which leaves it empty; a null id comes before all
-others; rows that repeat an id share their positions: of equal runs at the same
-place all stay, and each such row loses what any of them loses; texts of any length are
-read whole, one at a time; an empty table gives no rows; other columns are ignored,
+others; rows that repeat an id, null ones too, are texts of their own, in the order of
+their places in the files; texts of any length are read whole, one at a time; an empty table gives no rows; other columns are ignored,
 whatever their names.
 """
 
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import addressed, staged
 
 RUN, WORDS, PIECE = 3, 24, 12
 #: Words on either side among which one has the least hash where a long sentence is cut after it.
@@ -120,29 +119,27 @@ def runs(words: list[str], ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.
     return value.view(np.int64), found[:, 0].astype(np.int32), (found[:, 1] - found[:, 0]).astype(np.int32)
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, runs: first, n): for each document that loses any sentences, the runs that cover them."""
+def repeated(rows: DataFrame) -> DataFrame:
+    """(_row, runs: first, n): for each of ``rows`` (id, text, _row) that loses any sentences,
+    the runs that cover them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = runs(*cut_ends(text.as_py() or ""))
-                ids += [i] * len(got[0])
-                found.append(got)
+            found = [runs(*cut_ends(text.as_py() or "")) for text in batch.column(1)]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
             columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True))], ["id", "run", "first", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True))], ["id", "_row", "run", "first", "n"])
 
-    every = staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, run long, first int, n int"), "runs")
+    every = staged(rows.select("id", "text", "_row").mapInArrow(run, "id long, _row struct<file: long, at: long>, run long, first int, n int"), "runs")
     # most runs are unique: a count by hash is all that is gathered of them. One run can stand in a third of the
     # documents: what it is joined with is written first, so that a skewed partition of a join is split as it runs
     twice = staged(every.groupBy("run").count().where(F.col("count") > 1).select(F.col("run").alias("of")), "twice")
     shared = staged(every.join(twice.hint("merge"), F.col("run") == F.col("of")).drop("of"), "shared")
-    place = F.struct(F.col("id").isNotNull(), "id", "first")
-    firsts = staged(shared.groupBy("run").agg(F.min(place).alias("place")).select(F.col("run").alias("of"), F.col("place.id").alias("first_id"), F.col("place.first").alias("first_at")), "firsts")
-    others = shared.join(firsts.hint("merge"), F.col("run") == F.col("of")).where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("first") == F.col("first_at"))))
-    # a document has at most two runs for each of its sentences, whatever the rows that share its id
-    return staged(others.select("id", "first", "n").distinct().groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "gone")
+    place = F.struct(F.col("id").isNotNull(), "id", "_row", "first")
+    firsts = staged(shared.groupBy("run").agg(F.min(place).alias("place")).select(F.col("run").alias("of"), F.col("place._row").alias("first_row"), F.col("place.first").alias("first_at")), "firsts")
+    others = shared.join(firsts.hint("merge"), F.col("run") == F.col("of")).where((F.col("_row") != F.col("first_row")) | (F.col("first") != F.col("first_at")))
+    # a text has at most two runs for each of its sentences
+    return staged(others.groupBy("_row").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "gone")
 
 
 def covered(found: list[dict] | None) -> list[int]:
@@ -179,6 +176,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out[3].append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], [id_col, "n_sentences", "n_removed", "removed_words", "text"])
 
-    gone = repeated(docs, id_col, text_col)
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(gone.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left")
+    rows = addressed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text")
+    gone = repeated(rows).withColumnRenamed("_row", "_of")
+    kept = rows.join(gone, F.col("_row") == F.col("_of"), "left")
     return kept.select("id", "text", "runs").mapInArrow(run, f"`{id_col}` long, n_sentences long, n_removed long, removed_words long, text string")
