@@ -55,6 +55,15 @@ def test_capture_from_an_initial_state(spark, tmp_path):
     assert got == [("base", 1, CREATE, "original"), ("base", 5, got[1][2], got[1][3]), ("new", 5, CREATE, "new"), ("old", 6, CREATE, "reanchored")] and got[1][3] in ("changed", "rewritten")
 
 
+def test_capture_of_many_rows_of_one_path(spark, tmp_path):
+    """More rows than come in one piece, last ones first."""
+    schema, n = "path string, ts_ns bigint, content binary", 25_000
+    rows = spark.range(n).select(F.lit("a").alias("path"), (F.lit(n) - F.col("id")).alias("ts_ns"), F.when((F.lit(n) - F.col("id")) % 2 == 0, F.lit(b"even")).otherwise(F.lit(b"odd")).alias("content"))
+    write(rows, tmp_path / "in")
+    got = drained(spark, capture.captured(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), tmp_path, "captured_many")
+    assert len(got) == n and sorted(r["ts_ns"] for r in got) == list(range(1, n + 1)) and sum(r["event_type"] == CREATE for r in got) == 1
+
+
 def test_running_totals(spark, tmp_path):
     schema = "repo string, delta_size bigint"
     write(spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], schema), tmp_path / "in")

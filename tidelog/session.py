@@ -31,10 +31,13 @@ def scratch(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
         found = spark.sparkContext.getCheckpointDir()
-    path = f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    own = f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # what isn't there can't be marked for removal, and what is written has to be new
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{own}/data"
 
 
 def opened_by_python(path: str) -> str:

@@ -61,17 +61,16 @@ class Debounce(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        for batch in rows:
-            for r in batch.sort_values("ts", kind="stable").itertuples(index=False):
-                at, kind = int(r.ts.value // 1_000_000), DELETE if r.kind in GONE else MODIFY
-                now = self.state.get() if self.state.exists() else None
-                if now is not None and at - now[1] > self.gap_ms:
-                    out += self._ended(key)
-                    now = None
-                first, last, n = (at, at, 0) if now is None else now[:3]
-                self.state.update((min(first, at), max(last, at), n + 1, kind))
-                if r.kind in CLOSES:
-                    out += self._ended(key)
+        for r in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples(index=False):
+            at, kind = int(r.ts.value // 1_000_000), DELETE if r.kind in GONE else MODIFY
+            now = self.state.get() if self.state.exists() else None
+            if now is not None and at - now[1] > self.gap_ms:
+                out += self._ended(key)
+                now = None
+            first, last, n = (at, at, 0) if now is None else now[:3]
+            self.state.update((min(first, at), max(last, at), n + 1, kind))
+            if r.kind in CLOSES:
+                out += self._ended(key)
         if self.state.exists():
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -133,7 +132,8 @@ def _change(old: bytes, new: bytes, ts_ns: int) -> tuple:
 
 class Capture(StatefulProcessor):
     """``step`` over a stream of (path, ts_ns, content), with the state of each path kept
-    by Spark. A path's rows come in pieces of bounded size, each taken in order of time."""
+    by Spark. A path's rows of one batch are sorted in memory, which the source's limit of a
+    batch (as ``maxFilesPerTrigger``) bounds: their order counts across the pieces they come in."""
 
     def __init__(self, start_ns: int = 0):
         self.start_ns = start_ns
@@ -144,16 +144,15 @@ class Capture(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = self.state.get() if self.state.exists() else None
         now = None if now is None else (bytes(now[0]), now[1], now[2])
-        for batch in rows:
-            out = []
-            for r in batch.sort_values("ts_ns", kind="stable").itertuples(index=False):
-                now, made = step(now, None if r.content is None else bytes(r.content), r.ts_ns, self.start_ns)
-                out += [(key[0], *m) for m in made]
-            yield pd.DataFrame(out, columns=["path", "ts_ns", "event_type", "payload", "file_size", "reason"])
+        out = []
+        for r in pd.concat(list(rows)).sort_values("ts_ns", kind="stable").itertuples(index=False):
+            now, made = step(now, None if r.content is None else bytes(r.content), r.ts_ns, self.start_ns)
+            out += [(key[0], *m) for m in made]
         if now is None:
             self.state.clear()
         else:
             self.state.update(now)
+        yield pd.DataFrame(out, columns=["path", "ts_ns", "event_type", "payload", "file_size", "reason"])
 
     def handleInitialState(self, key, initial: pd.DataFrame, timerValues) -> None:
         """ST7: a file with history is not anchored; one without waits with its first content."""
