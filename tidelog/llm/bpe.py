@@ -28,10 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import alone
+
 #: Bytes above which a piece is merged by heap.
 LONG = 256
 #: Cells of one matrix, and words that a worker remembers in each of two generations.
-CELLS, REMEMBERED = 1 << 20, 400_000
+CELLS, REMEMBERED = 1 << 20, 300_000
 #: Characters of text that are worked on at once.
 CHUNK = 4 << 20
 
@@ -218,6 +220,7 @@ _loaded: dict[tuple[str, str], ByteBpe] = {}
 
 def codec(path: str, pattern: str) -> ByteBpe:
     """One for each worker process."""
+    alone("bpe", _loaded.clear)
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = ByteBpe(path, pattern)
     return _loaded[path, pattern]

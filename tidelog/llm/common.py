@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,17 @@ def ascii_lower(col: Column) -> Column:
 def carrying(docs: DataFrame, carry: tuple[str, ...]) -> tuple[list[Column], list[Column]]:
     """Columns that pass through an operator: as they go in, under names of their own, and as they come out."""
     return [F.col(c).alias(f"_carried{i}") for i, c in enumerate(carry)], [F.col(f"_carried{i}").alias(c) for i, c in enumerate(carry)]
+
+
+#: What empties the caches of each operator in a worker process.
+_emptied: dict[str, Callable[[], None]] = {}
+
+
+def alone(owner: str, empty: Callable[[], None]) -> None:
+    """Called where an operator begins to work in a worker, which is used again for others: only
+    one operator at a time remembers words there, so that what is remembered doesn't add up."""
+    for name, other in _emptied.items():
+        if name != owner:
+            other()
+    _emptied.clear()
+    _emptied[owner] = empty

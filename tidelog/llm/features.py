@@ -12,12 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import alone
+
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _hashes: dict[str, int] = {}
 #: Marks that are stripped from a word's ends where it is taken as a word.
 EDGES = ".,;:!?\"'()[]{}*#%$&|-"
 STATISTICS = 15
+#: Rows of a batch that are worked on at once.
+PIECE = 1024
 
 
 def hashed(words: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -78,9 +82,13 @@ def mapped(rows: DataFrame, make, out: pa.Schema, carried: tuple[str, ...] = ())
         schema = schema.add(rows.schema[c])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_columns - len(carried)
-            own = [pa.array(c, f.type) for c, f in zip(make(*(c.to_pylist() for c in batch.columns[:n])), out, strict=True)]
-            yield pa.RecordBatch.from_arrays([*own, *batch.columns[n:]], [*out.names, *carried])
+        alone("features", _hashes.clear)
+        for whole in batches:
+            # in pieces, as Python's values and the columns made of them take several times a batch
+            for at in range(0, max(1, whole.num_rows), PIECE):
+                batch = whole.slice(at, PIECE)
+                n = batch.num_columns - len(carried)
+                own = [pa.array(c, f.type) for c, f in zip(make(*(c.to_pylist() for c in batch.columns[:n])), out, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, *batch.columns[n:]], [*out.names, *carried])
 
     return rows.mapInArrow(run, schema)

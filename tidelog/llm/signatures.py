@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UPPER, addressed, staged
+from .common import UPPER, addressed, alone, staged
 
 SEGMENTS, PLACES = 6, 6
 #: Sets of one variant above which each is paired with one of them only.
 CROWDED = 32
 #: Shingles whose least hashes are taken at once; words that a worker remembers.
-BLOCK, REMEMBERED = 1 << 14, 500_000
+BLOCK, REMEMBERED = 1 << 14, 200_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _words: dict[bytes, int] = {}
@@ -94,6 +94,7 @@ def _signed(rows: DataFrame, size: int) -> DataFrame:
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("variants", T.ArrayType(T.LongType())), *rows.schema.fields[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("signatures", _words.clear)
         for batch in batches:
             nodes, signs = [], []
             for text in batch.column(1):
@@ -111,6 +112,7 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
     """(node, shingles) of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("signatures", _words.clear)
         for batch in batches:
             found = [shingles(text.as_py(), size).view(np.int64) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
