@@ -34,6 +34,8 @@ from .common import alone
 LONG = 256
 #: Cells of one matrix, and words that a worker remembers in each of two generations.
 CELLS, REMEMBERED = 1 << 20, 300_000
+#: Rows of a batch that are held as Python's values at once.
+PIECE = 2048
 #: Characters of text that are worked on at once.
 CHUNK = 4 << 20
 
@@ -262,7 +264,7 @@ def digested(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        for batch in batches:
+        for batch in (whole.slice(at, PIECE) for whole in batches for at in range(0, max(1, whole.num_rows), PIECE)):
             start, n, ids_sha, sha, values = 0, [], [], [], []
 
             def made() -> pa.RecordBatch:

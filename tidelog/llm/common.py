@@ -75,8 +75,15 @@ _emptied: dict[str, Callable[[], None]] = {}
 def alone(owner: str, empty: Callable[[], None]) -> None:
     """Called where an operator begins to work in a worker, which is used again for others: only
     one operator at a time remembers words there, so that what is remembered doesn't add up."""
-    for name, other in _emptied.items():
-        if name != owner:
-            other()
+    others = [empty_other for name, empty_other in _emptied.items() if name != owner]
+    if others:
+        import gc
+
+        import pyarrow
+
+        for empty_other in others:
+            empty_other()
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
     _emptied.clear()
     _emptied[owner] = empty
