@@ -13,8 +13,7 @@ within three bits when some value is within one bit of the first and two of the
 second; at each value within one bit of a member, all members within two bits are
 linked to the least of the former.
 
-Components come from alternating large-star and small-star steps over the links
-between distinct fingerprints, each step written to the shared folder.
+Components are those of the links between distinct fingerprints (see ``components``).
 
 Defined cases: null and empty texts, and those without a word, have fingerprint
 zero and are linked like any other; equal fingerprints are one node, however many
@@ -38,6 +37,7 @@ from pyspark.sql import types as T
 
 from . import signatures
 from .common import UPPER, carrying, staged
+from .components import components
 
 BITS, SHINGLE, SEED = 3, 3, 42
 #: Distinct fingerprints of one variant above which pairs give way to hubs.
@@ -122,33 +122,6 @@ def links(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return pairs.unionByName(hubs) if hubs is not None else pairs
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that each node of an edge can reach. Large-star
-    links what is above a node to the least that the node knows, small-star what is
-    below; they alternate until the links stay as they are."""
-
-    def least(of: DataFrame) -> DataFrame:
-        return of.groupBy("node").agg(F.least(F.min("other"), "node").alias("least"))
-
-    def state(of: DataFrame) -> tuple:
-        return tuple(of.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20)"))).first())
-
-    edges = staged(edges.distinct(), "links")
-    now = state(edges)
-    while now[0]:
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        above = both.join(least(both), "node").where(F.col("other") > F.col("node"))
-        large = staged(above.select(F.col("least").alias("a"), F.col("other").alias("b")).distinct(), "large")
-        below = large.select(F.col("b").alias("node"), F.col("a").alias("other"))
-        to = below.join(least(below), "node")
-        small = to.where(F.col("other") != F.col("least")).select(F.col("least").alias("a"), F.col("other").alias("b")).union(to.select(F.col("least").alias("a"), F.col("node").alias("b")))
-        edges = staged(small.distinct(), "small")
-        if (then := state(edges)) == now:
-            break
-        now = then
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: the id, bits (long), component_id (the least id that its
     links reach), component_size, root (what all rows of a component share), and the
@@ -156,23 +129,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     into, out_of = carrying(docs, carry)
     prints = staged(fingerprints(docs, id_col, text_col, into), "prints")
     nodes = staged(prints.groupBy("bits").agg(F.min("id").alias("id"), F.count("*").alias("n")), "nodes")
-    of = _rooted(nodes, "bits", links(nodes.select("bits"), crowded))
+    of = _rooted(nodes, "bits", components(links(nodes.select("bits"), crowded)))
     # one fingerprint can own a third of the rows: a skewed partition of this join is split as it runs
     return prints.join(of.hint("merge"), F.col("bits") == F.col("of")).select(F.col("id").alias(id_col), "bits", "component_id", "component_size", "root", *out_of)
 
 
-def near_duplicates_of_sets(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates_of_sets(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), crowded: int = signatures.CROWDED) -> DataFrame:
     """The same by the similarity of the sets of shingles (see ``signatures``): per row of
     ``docs``, the id, node (names its set), component_id, component_size, root and ``carry``."""
     into, out_of = carrying(docs, carry)
-    rows, nodes, found = signatures.similar(docs, similarity, shingle, id_col, text_col, into)
-    of = _rooted(nodes, "node", found)
+    rows, nodes, roots = signatures.similar(docs, similarity, shingle, id_col, text_col, into, crowded)
+    of = _rooted(nodes, "node", roots)
     return rows.join(of.hint("merge"), F.col("node") == F.col("of")).select(F.col("id").alias(id_col), "node", "component_id", "component_size", "root", *out_of)
 
 
-def _rooted(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+def _rooted(nodes: DataFrame, key: str, roots: DataFrame) -> DataFrame:
     """(of, root, component_id, component_size), written: for each of ``nodes`` (key, id, n)."""
-    roots = components(edges)
     named = nodes.join(roots, nodes[key] == roots["node"], "left").select(nodes[key].alias("of"), "id", "n", F.coalesce("root", nodes[key]).alias("root"))
     whole = named.groupBy("root").agg(F.min("id").alias("component_id"), F.sum("n").alias("component_size"))
     return staged(named.select("of", "root").join(whole, "root"), "rooted")
