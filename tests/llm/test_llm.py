@@ -460,6 +460,38 @@ def test_near_duplicates_of_sets(spark, odd):
     assert len(simhash.near_duplicates_of_sets(odd).collect()) == len(ODD) and simhash.near_duplicates_of_sets(odd.limit(0)).count() == 0
 
 
+def test_crowded_variants_lose_no_link(spark):
+    """A drift of texts, each like its neighbours only, and texts that share half their words."""
+    from tidelog.llm import signatures
+
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(400)}"
+    texts, text = [], [word() for _ in range(200)]
+    for _ in range(60):
+        for _ in range(3):
+            text[rng.randrange(200)] = word()
+        texts.append(" ".join(text))
+    frame = [word() for _ in range(120)]
+    for _ in range(60):
+        own = [word() for _ in range(70)]
+        texts.append(" ".join(frame + own))
+        if rng.random() < 0.4:
+            own[rng.randrange(70)] = word()
+            texts.append(" ".join(frame + own))
+    df = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id bigint, text string").coalesce(4)
+    want = dict(enumerate(jaccard_components([*texts, None, ""])))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates_of_sets(df, crowded=2).collect()} == want
+    # nothing is missed of what the first round leaves: sets of several components meet by their prefixes
+    sets = [signatures.shingles(t, 5) for t in texts]
+    rows = [(bytes([i]), x.view("int64").tolist(), bytes([i])) for i, x in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node binary, shingles array<long>, root binary")
+    pairs = signatures.met(nodes.select("node", "root"), nodes.select("node", "shingles"), 0.8)
+    got = {(r["a"][0], r["b"][0]) for r in signatures._alike(pairs, nodes.select("node", "shingles"), 0.8).collect()}
+    plain = [set(x.tolist()) for x in sets]
+    alike = {(i, j) for j in range(len(plain)) for i in range(j) if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])}
+    assert got == alike and alike
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
