@@ -62,6 +62,13 @@ def test_formats(spark):
         assert one(spark, format.duration, s * timeexpr.NS, types="n bigint") == want
 
 
+def test_sizes_halfway_round_as_in_c(spark):
+    """To the even digit; what rounds up to a whole carries; no size gives none."""
+    want = {1280: "1.2 KiB", 1792: "1.8 KiB", 806144: "787.2 KiB", (1 << 20) - 1: "1024.0 KiB", 5 << 18: "1.2 MiB", 9 << 27: "1.12 GiB", 11 << 27: "1.38 GiB", (1 << 31) - 1: "2.00 GiB", (1 << 63) - 1: "8589934592.00 GiB", -3: "-3 B", None: None}
+    rows = spark.createDataFrame([(n,) for n in want], "n bigint")
+    assert {r["n"]: r["size"] for r in rows.select("n", format.nbytes(F.col("n")).alias("size")).collect()} == want
+
+
 def test_time_expressions():
     now = 1_000_000 * timeexpr.NS
     for expr, s in [("10 minutes ago", 999_400), ("-2 hours", 992_800), ("1 week", 395_200), ("999 weeks", 0), ("", 1_000_000), (None, 1_000_000)]:

@@ -11,11 +11,21 @@ KIB, MIB, GIB = 1 << 10, 1 << 20, 1 << 30
 
 
 def nbytes(n: Column) -> Column:
-    """X4."""
-    d = n.cast("double")
-    return (
-        F.when(n >= GIB, F.format_string("%.2f GiB", d / GIB)).when(n >= MIB, F.format_string("%.1f MiB", d / MIB)).when(n >= KIB, F.format_string("%.1f KiB", d / KIB)).otherwise(F.format_string("%d B", n))
-    )
+    """X4, rounded as C's printf rounds: to even where a size lies halfway. Null for null."""
+    of = lambda unit, bits, digits: F.concat(_rounded(n, bits, digits), F.lit(f" {unit}"))
+    return F.when(n >= GIB, of("GiB", 30, 2)).when(n >= MIB, of("MiB", 20, 1)).when(n >= KIB, of("KiB", 10, 1)).otherwise(F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
+
+
+def _rounded(n: Column, bits: int, digits: int) -> Column:
+    """n / 2 ** bits with 1 or 2 digits. Java rounds halves up, so it is done in whole numbers."""
+    # of what a double holds of n, as C divides doubles; the next one below 2 ** 63 fits into a bigint
+    of = F.least(n.cast("double"), F.lit(float((1 << 63) - 1024))).cast("bigint")
+    scaled = of.bitwiseAND(F.lit((1 << bits) - 1)) * 10**digits
+    down, rest, half = F.shiftright(scaled, bits), scaled.bitwiseAND(F.lit((1 << bits) - 1)), 1 << (bits - 1)
+    up = F.when((rest > half) | ((rest == half) & (down % 2 == 1)), 1).otherwise(0)
+    near = down + up
+    whole = F.shiftright(of, bits) + F.when(near == 10**digits, 1).otherwise(0)
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((near % 10**digits).cast("string"), digits, "0"))
 
 
 def duration(ns: Column) -> Column:
