@@ -2,9 +2,13 @@
 
 from datetime import datetime, timedelta
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidelog.model import CREATE, DELETE, MODIFY
+from tidelog.oracle import ORACLE
+from tidelog.queries import QUERIES
+from tidelog.session import PLAIN, STORE
 from tidelog.streaming import capture, lifecycle
 
 NOON = datetime(2024, 1, 1, 12)
@@ -16,6 +20,31 @@ def drained(spark, stream, tmp_path, name, mode="append"):
     return spark.table(name).collect()
 
 
+def with_sql(spark, tmp_path, query, table, rows, schema):
+    """What a query of the catalogue and its SQL make of a table, in a session with Spark's default state store."""
+    (tmp_path / "sf").mkdir(exist_ok=True)
+    at = str(tmp_path / "sf" / f"{table}.parquet")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(at)
+    own = spark.conf.get(STORE)
+    spark.conf.set(STORE, PLAIN)
+    try:
+        got = QUERIES[query](spark, str(tmp_path / "sf"))
+        assert spark.conf.get(STORE) == PLAIN
+    finally:
+        spark.conf.set(STORE, own)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{at}/*.parquet'")
+    want = con.execute(ORACLE[query])
+    names = [d[0] for d in want.description]
+    return sorted(tuple(r[n] for n in names) for r in got.collect()), sorted(want.fetchall())
+
+
+def test_captured_without_a_setting_for_the_state(spark, tmp_path):
+    rows = [(1, 0, "user", "one"), (1, 1, "user", "one and two"), (1, 2, "user", "one and two"), (2, 0, "user", ""), (2, 1, "user", "x"), (3, 0, "user", None)]
+    got, want = with_sql(spark, tmp_path, "stream_captured", "conversations", rows, "conv_id bigint, turn bigint, role string, text string")
+    assert got == want and len(got) == 5
+
+
 def write(df, path):
     df.coalesce(1).write.mode("append").parquet(str(path))
 

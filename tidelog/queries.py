@@ -11,7 +11,7 @@ from .functions import codec, format, paths, text, timeexpr
 from .model import CREATE, EXTLOG_LABELS, LOG_LABELS, MODIFY, SINCE_LABELS, label
 from .operators import blocks, joins, replay, temporal
 from .operators.temporal import VersionLog
-from .session import opened_by_python, scratch
+from .session import opened_by_python, scratch, started
 from .sources import segments, tables
 from .streaming import capture, lifecycle
 from .views import nanoseconds, table, vchain, vfiles, vlog, vorders, vpaths
@@ -703,8 +703,8 @@ def status_table(spark, sf):
 def _drained(stream, mode: str = "append"):
     spark = stream.sparkSession
     name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", scratch(spark, "checkpoint")).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    out = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", scratch(spark, "checkpoint")).outputMode(mode).trigger(availableNow=True)
+    started(spark, out).awaitTermination()
     return spark.table(name)
 
 

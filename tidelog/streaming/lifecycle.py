@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.joins import rescanned
+from ..session import started
 from ..sources.tables import write_status
 
 #: Milliseconds between two looks at what is pending.
@@ -38,7 +39,7 @@ class Repos:
             raise ValueError(f"{name} is running")
         self.made[name] = (source, sink, trigger)
         out = source().writeStream.queryName(name).foreachBatch(sink).option("checkpointLocation", f"{self.checkpoints}/{name}")
-        return (out.trigger(**trigger) if trigger else out).start()
+        return started(self.spark, out.trigger(**trigger) if trigger else out)
 
     def stop(self, name: str) -> None:
         if query := self.running().get(name):
