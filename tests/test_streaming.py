@@ -45,6 +45,37 @@ def test_captured_without_a_setting_for_the_state(spark, tmp_path):
     assert got == want and len(got) == 5
 
 
+def test_debounced_ties_and_gaps_that_the_watermark_has_not_passed(spark, tmp_path):
+    """Of two events of one second the first closes, whatever order they come in; a session that a gap
+    ends stays open until the watermark passes it."""
+    at = lambda hours, ms=0: NOON + timedelta(hours=hours, milliseconds=ms)
+    events = [(9, at(0, 900), 1, "view"), (8, at(0, 950), 1, "purchase"), (7, at(0, 100), 2, "view"), (6, at(0, 900), 2, "error"), (10, at(20), 3, "view"), (11, at(27), 3, "error"), (12, at(27, 5000), 4, "view")]
+    rows = [(i, t, u, k, 1.0, "{}") for i, t, u, k in events]
+    got, want = with_sql(spark, tmp_path, "stream_debounced", "events", rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    assert got == want and len(got) == 3
+
+
+def test_debounced_keeps_sessions_that_a_late_event_joins(spark, tmp_path):
+    """Two sessions of one batch, joined by an event of the next one; times don't depend on the time zone."""
+    schema, own = "path string, ts timestamp, kind string", spark.conf.get("spark.sql.session.timeZone")
+    ms = lambda n: NOON + timedelta(milliseconds=n)
+    for rows in ([("a", ms(0), "modify"), ("a", ms(300), "modify")], [("a", ms(150), "modify")], [("z", ms(3_600_000), "modify")]):
+        write(spark.createDataFrame(rows, schema), tmp_path / "in")
+    base = int(spark.createDataFrame([(NOON,)], "t timestamp").select(F.unix_millis("t")).first()[0])
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = drained(spark, capture.debounced(stream, 200), tmp_path, "joined")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", own)
+    assert [(r["path"], r["first_ms"] - base, r["last_ms"] - base, r["n"], r["event_type"]) for r in got] == [("a", 0, 300, 3, MODIFY)]
+
+
+def test_a_drained_stream_is_in_files(spark):
+    """Not in the driver's memory, whatever the number of sessions."""
+    assert QUERIES["stream_sessions"](spark, "/root/testdata/sf0.001").inputFiles()
+
+
 def write(df, path):
     df.coalesce(1).write.mode("append").parquet(str(path))
 

@@ -41,44 +41,52 @@ def islands(events: DataFrame, gap_us: int, closes: Column | None = None, ts_us:
 
 
 class Debounce(StatefulProcessor):
-    """ST1-ST3 for a stream of (path, ts, kind) with a watermark: a session of a path ends
-    when its events are further apart than the gap, or at once with a closing one or a deletion.
-    Its kind is that of the last event: a deletion is overridden by what follows in its session."""
+    """ST1-ST3 for a stream of (path, ts, kind) with a watermark: a session of a path ends once the
+    watermark has passed its last event by more than the gap, as events that come late can join two
+    sessions until then, or at once with a closing event or a deletion. Its kind is that of the last
+    event: a deletion is overridden by what follows in its session."""
 
     def __init__(self, gap_ms: int = DEBOUNCE_MS):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", "first_ms bigint, last_ms bigint, n bigint, event_type int")
+        self.state = handle.getListState("sessions", "first_ms bigint, last_ms bigint, n bigint, event_type int")
 
-    def _ended(self, key) -> list[tuple]:
-        now = self.state.get()
-        self.state.clear()
+    def _kept(self, open_ones: list[tuple]) -> None:
+        """What is open from now on, and when the first of it ends. Each call to the state is a round trip."""
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        return [(key[0], *now)]
+        if open_ones:
+            self.state.put(open_ones)
+            self.handle.registerTimer(min(last for _, last, _, _ in open_ones) + self.gap_ms + 1)
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        for r in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples(index=False):
-            at, kind = int(r.ts.value // 1_000_000), DELETE if r.kind in GONE else MODIFY
-            now = self.state.get() if self.state.exists() else None
-            if now is not None and at - now[1] > self.gap_ms:
-                out += self._ended(key)
+        ended, open_ones, now = [], [], None
+        found = pd.concat(list(rows)).sort_values(["at_ms", "order"], kind="stable")
+        events = [(at, at, 1, DELETE if kind in GONE else MODIFY, kind in CLOSES) for at, kind in zip(found["at_ms"].tolist(), found["kind"].tolist(), strict=True)]
+        # a session that is open takes part like an event that lasts
+        for first, last, n, kind, closes in sorted([(*s, False) for s in self.state.get()] + events, key=lambda s: s[0]):
+            if now is not None and first - now[1] > self.gap_ms:
+                open_ones.append(now)
+                now = None
+            if now is None:
+                now = (first, last, n, kind)
+            else:
+                now = (now[0], max(now[1], last), now[2] + n, kind if last >= now[1] else now[3])
+            if closes:
+                ended.append((key[0], *now))
                 now = None
-            first, last, n = (at, at, 0) if now is None else now[:3]
-            self.state.update((min(first, at), max(last, at), n + 1, kind))
-            if r.kind in CLOSES:
-                out += self._ended(key)
-        if self.state.exists():
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(self.state.get()[1] + self.gap_ms + 1)
-        yield pd.DataFrame(out, columns=_SESSION)
+        self._kept(open_ones if now is None else [*open_ones, now])
+        yield pd.DataFrame(ended, columns=_SESSION)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame(self._ended(key) if self.state.exists() else [], columns=_SESSION)
+        until, open_ones = timerValues.getCurrentWatermarkInMs(), [tuple(s) for s in self.state.get()]
+        ended = [s for s in open_ones if s[1] + self.gap_ms + 1 <= until]
+        self._kept([s for s in open_ones if s[1] + self.gap_ms + 1 > until])
+        yield pd.DataFrame([(key[0], *s) for s in ended], columns=_SESSION)
 
     def close(self) -> None:
         pass
@@ -87,9 +95,12 @@ class Debounce(StatefulProcessor):
 _SESSION = ["path", "first_ms", "last_ms", "n", "event_type"]
 
 
-def debounced(events: DataFrame, gap_ms: int = DEBOUNCE_MS, lateness: str = "1 second") -> DataFrame:
-    """Sessions (path, first_ms, last_ms, n, event_type) of a stream of (path, ts, kind)."""
-    late = events.withWatermark("ts", lateness)
+def debounced(events: DataFrame, gap_ms: int = DEBOUNCE_MS, lateness: str = "1 second", order: str | None = None) -> DataFrame:
+    """Sessions (path, first_ms, last_ms, n, event_type) of a stream of (path, ts, kind). Events of
+    one path and millisecond come by ``order``, a column of the stream, if one is named."""
+    # times as numbers: pandas would get them in the session's time zone
+    timed = events.select("path", "ts", "kind", F.unix_millis("ts").alias("at_ms"), (F.col(order) if order else F.lit(0)).alias("order"))
+    late = timed.withWatermark("ts", lateness)
     return late.groupBy("path").transformWithStateInPandas(Debounce(gap_ms), "path string, first_ms bigint, last_ms bigint, n bigint, event_type int", "Append", "EventTime")
 
 
