@@ -701,11 +701,13 @@ def status_table(spark, sf):
 
 
 def _drained(stream, mode: str = "append"):
+    """What a stream has given. Rows that are appended go to files, not to the driver's memory."""
     spark = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    out = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", scratch(spark, "checkpoint")).outputMode(mode).trigger(availableNow=True)
+    name, at = f"drained_{uuid.uuid4().hex}", scratch(spark, "drained")
+    out = stream.writeStream.queryName(name).option("checkpointLocation", scratch(spark, "checkpoint")).outputMode(mode).trigger(availableNow=True)
+    out = out.format("parquet").option("path", at) if mode == "append" else out.format("memory")
     started(spark, out).awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(at) if mode == "append" else spark.table(name)
 
 
 def _event_stream(spark, sf):
@@ -732,8 +734,8 @@ def stream_sessions(spark, sf):
 def stream_debounced(spark, sf):
     """ST2, ST3: sessions with early close and the kind of their last event."""
     kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "purchase", "close").otherwise("modify")
-    e = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("path"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"), kind.alias("kind"))
-    return _drained(capture.debounced(e, 6 * 3_600_000, "1 hour")).groupBy("path").agg(F.sum("n").alias("n"), F.min("first_ms").alias("first_ms"))
+    e = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("path"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"), kind.alias("kind"), "event_id")
+    return _drained(capture.debounced(e, 6 * 3_600_000, "1 hour", "event_id")).groupBy("path").agg(F.sum("n").alias("n"), F.min("first_ms").alias("first_ms"))
 
 
 @query
