@@ -460,6 +460,28 @@ def test_near_duplicates_of_sets(spark, odd):
     assert len(simhash.near_duplicates_of_sets(odd).collect()) == len(ODD) and simhash.near_duplicates_of_sets(odd.limit(0)).count() == 0
 
 
+def test_open_sets_meet_only_where_enough_can_be_shared(spark):
+    """Sets made from one frame, each with shingles of its own: all that are similar are met, and none that
+    has more of its own than a similar set may have."""
+    from tidelog.llm import signatures
+
+    rng, least = random.Random(5), 0.8
+    frame = [rng.getrandbits(63) for _ in range(100)]
+    sets, own = [], []
+    for _ in range(60):
+        n = rng.randrange(25)
+        sets.append(rng.sample(frame, 100 - n + rng.randrange(-2, 1) if n > 2 else 100) + [rng.getrandbits(63) for _ in range(n)])
+        own.append(n)
+    named = [(bytes([i]), [v - (1 << 63) for v in sorted(x)]) for i, x in enumerate(sets)]
+    frame_of = spark.createDataFrame(named, "node binary, shingles array<bigint>")
+    got = {(r["a"][0], r["b"][0]) for r in signatures.met(frame_of.select("node", F.col("node").alias("root")), frame_of, least).collect()}
+    shared = {(i, j): len(set(sets[i]) & set(sets[j])) for i in range(60) for j in range(i)}
+    similar = {(j, i) for (i, j), n in shared.items() if n >= least * (len(sets[i]) + len(sets[j]) - n)}
+    enough = lambda i, j: least / (1 + least) * (len(sets[i]) + len(sets[j])) - 1e-6
+    assert similar and similar <= got
+    assert all(min(len(sets[i]) - own[i], len(sets[j]) - own[j]) >= enough(i, j) for i, j in got)
+
+
 def test_crowded_variants_lose_no_link(spark):
     """A drift of texts, each like its neighbours only, and texts that share half their words."""
     from tidelog.llm import signatures

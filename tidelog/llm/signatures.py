@@ -176,18 +176,27 @@ def met(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             of = pa.array(np.repeat(np.arange(len(own)), [len(s) for s in own]))
             flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
             sizes = pa.array(np.array([len(s) for s in found], np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), sizes.take(of), pa.array(flat)], ["node", "n", "shingle"])
+            at = pa.array(np.concatenate([np.zeros(0, np.int32), *(np.arange(len(s), dtype=np.int32) for s in own)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), sizes.take(of), at, pa.array(flat)], ["node", "n", "at", "shingle"])
 
-    prefixes = sets.select("node", "shingles").mapInArrow(run, "node binary, n int, shingle long")
+    prefixes = sets.select("node", "shingles").mapInArrow(run, "node binary, n int, at int, shingle long")
     every = staged(prefixes.join(nodes, "node"), "prefixes")
-    groups = every.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", "count").alias("major"), F.count("*").alias("roots"))
-    several = staged(groups.where(F.col("roots") > 1).select(F.col("shingle").alias("of"), "major"), "several")
-    shared = staged(every.join(several.hint("merge"), F.col("shingle") == F.col("of")).drop("of"), "shared")
-    left = shared.where(F.col("root") != F.col("major")).select("shingle", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-    right = shared.select("shingle", "major", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+    groups = every.groupBy("shingle", "root").agg(F.count("*").alias("count"), F.min("n").alias("n")).groupBy("shingle").agg(F.max_by("root", "count").alias("major"), F.count("*").alias("roots"), F.min("n").alias("least"))
+    several = staged(groups.where(F.col("roots") > 1).select(F.col("shingle").alias("of"), "major", "least"), "several")
+
+    def early(n: Column, at: Column, other: Column) -> Column:
+        """Whether a shingle at this place can be the first that a set shares with one of ``other`` shingles:
+        similar ones share (|A| + |B|) s / (1 + s), and what follows has to suffice for that."""
+        return n - at >= (n + other) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+
+    # the smallest partner asks for the least, so that most places of sets of like sizes are left out at once
+    shared = staged(every.join(several.hint("merge"), F.col("shingle") == F.col("of")).where(early(F.col("n"), F.col("at"), F.greatest("least", F.ceil(F.col("n") * similarity - F.lit(1e-6))))).drop("of", "least"), "shared")
+    left = shared.where(F.col("root") != F.col("major")).select("shingle", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    right = shared.select("shingle", "major", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
     once = (F.col("root_b") == F.col("major")) | (F.col("a") < F.col("b"))
     lengths = (F.col("n_a") >= F.lit(similarity) * F.col("n_b")) & (F.col("n_b") >= F.lit(similarity) * F.col("n_a"))
-    pairs = left.join(right.hint("merge"), "shingle").where((F.col("root_a") != F.col("root_b")) & once & lengths)
+    places = early(F.col("n_a"), F.col("at_a"), F.col("n_b")) & early(F.col("n_b"), F.col("at_b"), F.col("n_a"))
+    pairs = left.join(right.hint("merge"), "shingle").where((F.col("root_a") != F.col("root_b")) & once & lengths & places)
     return staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
 
 
