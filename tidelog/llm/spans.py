@@ -24,11 +24,13 @@ whatever their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,81 +44,111 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"\S+")
 
 
-def _cut_on(words: list[str], ends: list[int]) -> list[int]:
+#: Bytes of texts that are cut together. A longer text is cut alone.
+TOGETHER = 1 << 20
+
+
+class Sentences(NamedTuple):
+    """The sentences of several texts, one after the other."""
+
+    #: UTF-8 of the words, each with a space or, at the end of a line, a line feed behind it.
+    joined: bytes
+    #: Where each word ends in ``joined``.
+    stops: np.ndarray
+    #: The words before each sentence, and all.
+    before: np.ndarray
+    #: The sentences before each text, and all.
+    of: np.ndarray
+
+    def words(self) -> list[str]:
+        return self.joined.decode("utf-8", "surrogatepass").split()
+
+
+def _cut_on(joined: bytes, stops: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The ``ends`` of sentences, and where those of over ``PIECE`` words are cut."""
-    long = [(a, b) for a, b in zip([0, *ends], ends) if b - a > PIECE]
-    if not long:
+    begins = np.concatenate([[0], ends])[:-1]
+    long = np.nonzero(ends - begins > PIECE)[0]
+    if not len(long):
         return ends
+    a, b = begins[long], ends[long]
+    last = np.cumsum(b - a)
+    size = int(last[-1])
+    spans = zip((np.concatenate([[-1], stops])[a] + 1).tolist(), stops[b - 1].tolist())
     # the last word of each is the least, so that none beside it is
-    each = [crc32(w) for a, b in long for w in " ".join(words[a:b]).encode("utf-8", "surrogatepass").split(b" ")]
-    rank, size = np.array([0] * NEAR + each + [0] * NEAR, np.int64) + 1, len(each)
-    last = np.cumsum([b - a for a, b in long])
-    rank[last + NEAR - 1] = rank[:NEAR] = rank[size + NEAR :] = 0
+    rank = np.zeros(size + 2 * NEAR, np.int64)
+    rank[NEAR : NEAR + size] = np.fromiter((crc32(w) for x, y in spans for w in joined[x:y].split()), np.int64, size) + 1
+    rank[last + NEAR - 1] = 0
     left = np.minimum.reduce([rank[k : k + size] for k in range(NEAR)])
     right = np.minimum.reduce([rank[k : k + size] for k in range(NEAR + 1, 2 * NEAR + 1)])
     own = rank[NEAR : NEAR + size]
-    found = [*(np.nonzero((own < left) & (own <= right) & (own > 0))[0] + 1).tolist(), size + 1]
-    out, base, k = list(ends), 0, 0
-    for a, b in long:
-        at, stop = base, base + b - a
-        while at < stop:
-            end = min(found[k], stop)
-            while end - at > PIECE:
-                # the last of the least
-                at += PIECE - int(own[at + NEAR : at + PIECE][::-1].argmin())
-                out.append(a + at - base)
-            if end < stop:
-                out.append(a + end - base)
-                k += 1
-            at = end
-        base = stop
-    out.sort()
-    return out
-
-
-def cut_ends(text: str) -> tuple[list[str], list[int]]:
-    """The words, and at which of them each sentence ends."""
-    words: list[str] = []
-    ends: list[int] = []
-    for line in text.splitlines():
-        if own := line.split():
-            ends += [i for i, w in enumerate(own, len(words) + 1) if w[-1] in ".!?"]
-            words += own
-            if own[-1][-1] not in ".!?":
-                ends.append(len(words))
-    return words, _cut_on(words, ends)
+    cuts = [np.nonzero((own < left) & (own <= right) & (own > 0))[0] + 1]
+    every = np.sort(np.concatenate([[0], cuts[0], last]))
+    at, end = every[:-1], every[1:]
+    while (far := end - at > PIECE).any():
+        at, end = at[far], end[far]
+        # the last of the least
+        at = at + PIECE - own[at[:, None] + np.arange(PIECE - 1, NEAR - 1, -1)].argmin(1)
+        cuts.append(at)
+    # of each word of a long sentence, its place among all
+    place = np.arange(size) + np.repeat(b - last, b - a)
+    return np.sort(np.concatenate([ends, place[np.concatenate(cuts) - 1] + 1]))
+
+
+def cut_together(texts: Iterable[str | None]) -> Sentences:
+    """The sentences of ``texts``."""
+    each = ["".join([f"{own}\n" for line in (text or "").splitlines() if (own := " ".join(line.split()))]).encode("utf-8", "surrogatepass") for text in texts]
+    joined = b"".join(each)
+    seen = np.frombuffer(joined, np.uint8)
+    # no other byte of a word is one of these
+    stops = np.nonzero((seen == 0x20) | (seen == 0x0A))[0]
+    ends = _cut_on(joined, stops, np.nonzero((seen[stops] == 0x0A) | np.isin(seen[stops - 1], np.frombuffer(b".!?", np.uint8)))[0] + 1)
+    words = np.searchsorted(stops, np.cumsum([0, *map(len, each)]))
+    return Sentences(joined, stops, np.concatenate([[0], ends]), np.searchsorted(ends, words, "right"))
 
 
 def cut(text: str) -> list[list[str]]:
     """The words of each sentence."""
-    words, ends = cut_ends(text)
-    return [words[a:b] for a, b in zip([0, *ends], ends)]
+    found = cut_together([text])
+    words, before = found.words(), found.before.tolist()
+    return [words[a:b] for a, b in zip(before, before[1:])]
 
 
-def runs(words: list[str], ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first sentence, sentences) of each run, without repeats."""
-    n = len(ends)
-    before = np.array([0, *ends])
-    start = np.arange(n)
-    # forth: the least end with enough words and sentences; back: the largest start
+def runs(found: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, first sentence of those of the text, sentences) of each run, without repeats, in the order of their places."""
+    before, n = found.before, len(found.before) - 1
+    text = np.repeat(np.arange(len(found.of) - 1), np.diff(found.of))
+    low, high, start = found.of[text], found.of[text + 1], np.arange(n)
+    # forth: the least end with enough words and sentences; back: the largest start, if it isn't that one's end
     end = np.maximum(np.searchsorted(before, before[:-1] + WORDS), start + RUN)
-    forth = np.stack([start, end], 1)[end <= n]
     begin = np.minimum(np.searchsorted(before, before[1:] - WORDS, "right") - 1, start + 1 - RUN)
-    back = np.stack([begin, start + 1], 1)[begin >= 0]
-    found = np.concatenate([forth, back])
-    if not len(found):
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    found = np.unique(found, axis=0)
-    each = np.fromiter((xxhash.xxh64_intdigest(" ".join(words[a:b]).encode("utf-8", "surrogatepass")) for a, b in zip([0, *ends], ends)), np.uint64, n)
+    forth, back = np.nonzero(end <= high)[0], np.nonzero(begin >= low)[0]
+    back = back[end[begin[back]] != back + 1]
+    first, stop = np.concatenate([forth, begin[back]]), np.concatenate([end[forth], back + 1])
+    order = np.argsort(first, kind="stable")
+    first, stop = first[order], stop[order]
+    spans = zip((np.concatenate([[-1], found.stops])[before[:-1]] + 1).tolist(), found.stops[before[1:] - 1].tolist())
+    each = np.fromiter((xxhash.xxh64_intdigest(found.joined[a:b]) for a, b in spans), np.uint64, n)
     # a polynomial over the sentences' hashes, modulo 2^64: sums of any run from prefix sums
     inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
     with np.errstate(over="ignore"):
-        powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _ODD))])[:n].astype(np.uint64)
-        back_powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, inverse))])[:n].astype(np.uint64)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(each * powers)]).astype(np.uint64)
-        value = (sums[found[:, 1]] - sums[found[:, 0]]) * back_powers[found[:, 0]]
-        value ^= (found[:, 1] - found[:, 0]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return value.view(np.int64), found[:, 0].astype(np.int32), (found[:, 1] - found[:, 0]).astype(np.int32)
+        powers, back_powers = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, x))])[:n] for x in (_ODD, inverse))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(each * powers)])
+        value = (sums[stop] - sums[first]) * back_powers[first]
+        value ^= (stop - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return value.view(np.int64), text[first], (first - low[first]).astype(np.int32), (stop - first).astype(np.int32)
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, those together whose texts (the second column) are cut together."""
+    for batch in batches:
+        start = size = 0
+        for i, k in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+            if i > start and size + k > TOGETHER:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += k
+        if start < len(batch):
+            yield batch.slice(start)
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -124,11 +156,9 @@ def repeated(rows: DataFrame) -> DataFrame:
     the runs that cover them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [runs(*cut_ends(text.as_py() or "")) for text in batch.column(1)]
-            of = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True))], ["id", "_row", "run", "first", "n"])
+        for batch in _pieces(batches):
+            run, text, first, n = map(pa.array, runs(cut_together(batch.column(1).to_pylist())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(2).take(text), run, first, n], ["id", "_row", "run", "first", "n"])
 
     every = staged(rows.select("id", "text", "_row").mapInArrow(run, "id long, _row struct<file: long, at: long>, run long, first int, n int"), "runs")
     # most runs are unique: a count by hash is all that is gathered of them. One run can stand in a third of the
@@ -142,15 +172,18 @@ def repeated(rows: DataFrame) -> DataFrame:
     return staged(others.groupBy("_row").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "gone")
 
 
+def _within(first: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Of each of ``size`` sentences, whether any of the runs covers it."""
+    steps = np.bincount(first, minlength=size + 1) - np.bincount(first + n, minlength=size + 1)
+    return np.cumsum(steps)[:size] > 0
+
+
 def covered(found: list[dict] | None) -> list[int]:
     """The sentences that any of the runs covers."""
     if not found:
         return []
     first, n = (np.array([r[k] for r in found], np.int64) for k in ("first", "n"))
-    steps = np.zeros(int((first + n).max()) + 1, np.int64)
-    np.add.at(steps, first, 1)
-    np.add.at(steps, first + n, -1)
-    return np.nonzero(np.cumsum(steps) > 0)[0].tolist()
+    return np.nonzero(_within(first, n, int((first + n).max())))[0].tolist()
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,23 +191,25 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left; as it was where nothing is removed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text, gone in zip(batch.column(1), batch.column(2), strict=True):
-                text, gone = text.as_py(), covered(gone.as_py())
-                ends = [0, *cut_ends(text or "")[1]]
-                out[0].append(len(ends) - 1)
-                out[1].append(len(gone))
-                out[2].append(sum(ends[i + 1] - ends[i] for i in gone))
-                if gone:
-                    places, kept, at = [m.span() for m in _WORD.finditer(text)], [], 0
-                    for i in gone:
-                        kept.append(text[at : places[ends[i]][0]])
-                        at = places[ends[i + 1] - 1][1]
-                    text = "".join(kept) + text[at:]
-                    text = text.strip() and text
-                out[3].append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], [id_col, "n_sentences", "n_removed", "removed_words", "text"])
+        for batch in _pieces(batches):
+            texts = batch.column(1).to_pylist()
+            found = cut_together(texts)
+            covers = batch.column(2).flatten()
+            first, n = (covers.field(k).to_numpy().astype(np.int64) for k in ("first", "n"))
+            first += np.repeat(found.of[:-1], pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy())
+            gone = _within(first, n, len(found.before) - 1)
+            removed, words = (np.diff(np.concatenate([[0], np.cumsum(x)])[found.of]) for x in (gone, gone * np.diff(found.before)))
+            for k in np.nonzero(removed)[0].tolist():
+                low, high = found.of[k : k + 2].tolist()
+                ends = (found.before[low : high + 1] - found.before[low]).tolist()
+                text = texts[k]
+                places, kept, at = [m.span() for m in _WORD.finditer(text)], [], 0
+                for i in np.nonzero(gone[low:high])[0].tolist():
+                    kept.append(text[at : places[ends[i]][0]])
+                    at = places[ends[i + 1] - 1][1]
+                text = "".join(kept) + text[at:]
+                texts[k] = text.strip() and text
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (np.diff(found.of), removed, words)), pa.array(texts, pa.string())], [id_col, "n_sentences", "n_removed", "removed_words", "text"])
 
     rows = addressed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text")
     gone = repeated(rows).withColumnRenamed("_row", "_of")
