@@ -271,6 +271,34 @@ def test_quality_equals_brute_force(spark):
         assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(logit, -30, 30)))) < 1e-9
 
 
+def test_quality_is_fitted_away_from_the_driver(spark):
+    """The driver gets the machine, whose size is fixed, and none of the rows that it is fitted on."""
+    import gc
+    import tracemalloc
+
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    gc.collect()
+    tracemalloc.start()
+    try:
+        machine = quality.trained(docs(spark, "/root/testdata/sf0.1"), labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    size = sum(x.nbytes for x in (machine.linear, machine.latent, machine.mean, machine.scale))
+    assert most < 8 * size, (most, size)
+
+
+def test_quality_learns_the_same_from_rows_in_any_order(spark):
+    """Rows that repeat an id, too, wherever they are read."""
+    import numpy as np
+
+    rows = docs(spark, SMALL).select("doc_id", "text", "n_chars")
+    rows = rows.union(rows.select("doc_id", F.reverse("text"), "n_chars"))
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    one, other = (quality.trained(r, labels) for r in (rows.coalesce(1).orderBy("text"), rows.repartition(5).sortWithinPartitions(F.desc("text"))))
+    assert one.bias == other.bias and np.array_equal(one.linear, other.linear) and np.array_equal(one.latent, other.latent)
+
+
 def test_factorisation_identity():
     import numpy as np
 
